@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tastemill.functions.core import hash_key, r6, top_n
+from tastemill.functions.core import dense_positions, hash_key, r6, top_n
 from tastemill.operators.knn import grid_topn
 from tastemill.operators.profiles import liked_genres, user_profile_mean
 
@@ -61,16 +61,7 @@ def ranked_items(items: DataFrame, seed: int, group: str | None = None) -> DataF
 
 
 def _dense_positions(base: DataFrame) -> DataFrame:
-    """Global 1-based position by (h, item_id) without a one-task window:
-    range partition on the order, number inside partitions, add offsets."""
-    n = base.sparkSession.sparkContext.defaultParallelism
-    ranged = base.repartitionByRange(n, "h", "item_id").withColumn("_pid", F.spark_partition_id())
-    local = ranged.withColumn("_rn", F.row_number().over(Window.partitionBy("_pid").orderBy("h", "item_id")))
-    counts = local.groupBy("_pid").agg(F.max("_rn").alias("_cnt"))
-    offs = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(
-        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return (local.join(F.broadcast(offs.select("_pid", "_off")), "_pid")
-            .withColumn("pos", F.col("_off") + F.col("_rn")).drop("_pid", "_rn", "_off"))
+    return dense_positions(base, ["h", "item_id"])
 
 
 def prefix_pick(wants: DataFrame, ranked: DataFrame, group: str | None) -> DataFrame:

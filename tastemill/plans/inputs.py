@@ -36,7 +36,7 @@ def _case(mapping: dict, col: str, quote_values: bool = False) -> str:
 INTERACTIONS = f"""interactions AS (
   SELECT user_id, item_id, sum(rating) AS rating FROM (
     SELECT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS item_id,
-           {_case(RATING_OF_EVENT, 'event_type')} AS rating
+           CAST({_case(RATING_OF_EVENT, 'event_type')} AS DOUBLE) AS rating
     FROM events) WHERE item_id IS NOT NULL AND rating IS NOT NULL
   GROUP BY user_id, item_id)"""
 
