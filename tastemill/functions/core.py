@@ -31,8 +31,13 @@ def safe_div(num: Column, den: Column) -> Column:
 
 
 def r6(c: Column | str, digits: int = 6) -> Column:
-    c = F.col(c) if isinstance(c, str) else c
-    return F.round(c.cast("double"), digits)
+    """Round half away from zero on the scaled double, the way DuckDB's
+    ``round`` does. Spark's ``round`` goes through BigDecimal and costs
+    ~0.7 µs per row; this stays in primitive arithmetic. ``+ 0.0`` turns
+    a negative zero into zero."""
+    c = (F.col(c) if isinstance(c, str) else c).cast("double")
+    m = float(10 ** digits)
+    return F.signum(c) * F.floor(F.abs(c) * F.lit(m) + F.lit(0.5)) / F.lit(m) + F.lit(0.0)
 
 
 def top_n(df: DataFrame, by: list[str], order: list[Column], n: int,

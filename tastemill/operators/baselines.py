@@ -19,7 +19,7 @@ from tastemill.operators.profiles import liked_genres, user_profile_mean
 
 # ------------------------------------------------------------------ pruned
 def pruned_recommend(feedback: DataFrame, feats: DataFrame, cols: list[str],
-                     n: int = 15, per_cell: int = 8) -> DataFrame:
+                     n: int = 15, per_cell: int | None = None) -> DataFrame:
     """score = -‖x - mean_liked‖² + 0.5‖x - mean_disliked‖² (second term only
     with dislikes); rated items excluded; users without likes get nothing.
 
@@ -27,7 +27,8 @@ def pruned_recommend(feedback: DataFrame, feats: DataFrame, cols: list[str],
     t = 2·mean_liked - mean_disliked (a = 0.5), so the top-n is the exact
     n-nearest-neighbour set of t, found by ``grid_topn``.
     """
-    prof = user_profile_mean(feedback, feats, cols).filter(F.col("n_like") > 0)
+    fb = feedback.select("user_id", "item_id", "label").persist()  # profiles and exclusions
+    prof = user_profile_mean(fb, feats, cols).filter(F.col("n_like") > 0)
     has_d = F.col("n_dislike") > 0
     targets = prof.withColumns({
         f"t_{c}": F.when(has_d, 2.0 * F.col(f"like_{c}") - F.col(f"dislike_{c}"))
@@ -43,8 +44,10 @@ def pruned_recommend(feedback: DataFrame, feats: DataFrame, cols: list[str],
             far = b * b if far is None else far + b * b
         return -near + F.when(has_d, 0.5 * far).otherwise(F.lit(0.0))
 
-    return grid_topn(targets, feats.select("item_id", *cols), cols, [f"t_{c}" for c in cols], n,
-                     score, exclude=feedback.select("user_id", "item_id"), per_cell=per_cell)
+    out = grid_topn(targets, feats.select("item_id", *cols), cols, [f"t_{c}" for c in cols], n,
+                    score, exclude=fb.select("user_id", "item_id"), per_cell=per_cell)
+    fb.unpersist()
+    return out
 
 
 # ----------------------------------------------------------- ordered picks

@@ -18,6 +18,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tastemill.functions.core import r6  # noqa: F811
+
 from tastemill.functions.core import dense_positions, hash_key, top_n
 
 
@@ -161,5 +163,5 @@ def cluster_recommend(feedback: DataFrame, assigns: dict[str, DataFrame], weight
     fill = fill_w.join(gpos, ["g", "pos"]).select("user_id", "item_id", F.lit(0.0).alias("score"))
     allc = (cand.unionByName(fill).groupBy("user_id", "item_id").agg(F.max("score").alias("score"))
             .join(feedback.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti"))
-    out = top_n(allc, ["user_id"], [F.round("score", 6).desc(), F.col("item_id")], n)
-    return out.select("user_id", "item_id", F.round("score", 6).alias("score"), F.col("rank").cast("int"))
+    out = top_n(allc, ["user_id"], [r6("score").desc(), F.col("item_id")], n)
+    return out.select("user_id", "item_id", r6("score").alias("score"), F.col("rank").cast("int"))

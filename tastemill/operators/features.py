@@ -197,9 +197,17 @@ def release_year(date_col: str) -> Column:
 
 
 # -------------------------------------------------------- catalogue table
-def item_features(catalog: DataFrame, cols: list[str]) -> DataFrame:
+def item_features(catalog: DataFrame, cols: list[str], materialize_result: bool = True) -> DataFrame:
     """(item_id, genre, genres, <cols> z-scored): median-fill then z-score,
-    both from one aggregate each."""
+    both from one aggregate each. The result (one row per item) is written
+    once to the checkpoint folder, because every recommender reads it
+    several times (statistics, profiles, candidate joins)."""
+    from tastemill.session import materialize
     cols = [c for c in cols if c in catalog.columns]
     base = catalog.select("item_id", "genre", "genres", *[F.col(c).cast("double").alias(c) for c in cols])
-    return standard_scale(impute(base, cols, "median"), cols)
+    if not materialize_result:
+        return standard_scale(impute(base, cols, "median"), cols)
+    base = base.persist()   # catalogue-sized; read by two statistics passes and the write
+    out = materialize(standard_scale(impute(base, cols, "median"), cols), "item-features")
+    base.unpersist()
+    return out

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tastemill.functions.core import r6  # noqa: F811
+
 from tastemill.functions.core import top_n
 
 # ---- fixed values --------------------------------------------------------
@@ -54,8 +56,8 @@ def retrieve_topn(queries: DataFrame, docs: DataFrame, n: int = 2,
     dots = (qw.join(dw.withColumnRenamed("weight", "dw"), "term")
             .groupBy(qid, did).agg(F.sum(F.col("weight") * F.col("dw")).alias("score"))
             .filter(F.col("score") > 0))
-    out = top_n(dots, [qid], [F.round("score", 6).desc(), F.col(did)], n)
-    return out.select(qid, did, F.round("score", 6).alias("score"), F.col("rank").cast("int"))
+    out = top_n(dots, [qid], [r6("score").desc(), F.col(did)], n)
+    return out.select(qid, did, r6("score").alias("score"), F.col("rank").cast("int"))
 
 
 def context_block(queries: DataFrame, hits: DataFrame, docs: DataFrame,

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tastemill.functions.core import r6
+
 # ---- fixed values --------------------------------------------------------
 RULES = [
     (1, "Rhyming Zig-Zag", "Every alternating line (or sentence) must rhyme; the others must not."),
@@ -187,4 +189,4 @@ def author_league(broken: DataFrame) -> DataFrame:
     """Per author: texts, mean broken rules, rank (fewest broken first)."""
     a = broken.groupBy("author").agg(F.count(F.lit(1)).alias("n_texts"),
                                      F.avg("n_broken").alias("avg_broken"))
-    return a.withColumn("rank", F.rank().over(Window.orderBy(F.round("avg_broken", 6))))
+    return a.withColumn("rank", F.rank().over(Window.orderBy(r6("avg_broken"))))

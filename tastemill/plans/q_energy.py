@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tastemill.functions.core import r6  # noqa: F811
+
 from tastemill.operators import energy as G
 from tastemill.plans import inputs as I
 from tastemill.plans.registry import query
@@ -38,8 +40,8 @@ SELECT run_id, component, round(watts, 6) AS watts, round(energy_wh, 6) AS energ
        round(energy_wh, 6) AS compat_kwh FROM energy""")
 def component_energy(spark, sf):
     e = G.component_energy(S.runs(spark, sf))
-    return e.select("run_id", "component", F.round("watts", 6).alias("watts"),
-                    F.round("energy_wh", 6).alias("energy_wh"), F.round("energy_wh", 6).alias("compat_kwh"))
+    return e.select("run_id", "component", r6("watts").alias("watts"),
+                    r6("energy_wh").alias("energy_wh"), r6("energy_wh").alias("compat_kwh"))
 
 
 @query("energy_breakdown", f"""WITH {_ENERGY_SQL}
@@ -50,8 +52,8 @@ SELECT run_id, component, round(energy_wh, 6) AS energy_wh,
 FROM energy""")
 def energy_breakdown(spark, sf):
     b = G.energy_breakdown(G.component_energy(S.runs(spark, sf)))
-    return b.select("run_id", "component", F.round("energy_wh", 6).alias("energy_wh"),
-                    F.round("total_wh", 6).alias("total_wh"), F.round("share_pct", 6).alias("share_pct"),
+    return b.select("run_id", "component", r6("energy_wh").alias("energy_wh"),
+                    r6("total_wh").alias("total_wh"), r6("share_pct").alias("share_pct"),
                     F.col("rank").cast("int"))
 
 
@@ -68,7 +70,7 @@ FROM sess s JOIN tot t ON t.run_id = s.run_id""")
 def emissions_equivalents(spark, sf):
     r = S.runs(spark, sf)
     e = G.emissions_equivalents(r, G.component_energy(r))
-    return e.select("run_id", *[F.round(c, 6).alias(c) for c in e.columns if c != "run_id"])
+    return e.select("run_id", *[r6(c).alias(c) for c in e.columns if c != "run_id"])
 
 
 @query("timing_report", f"""WITH {I.RUNS}
@@ -76,7 +78,7 @@ SELECT coalesce(component, 'TOTAL') AS component, round(sum(duration_s), 6) AS s
        CAST(count(*) AS BIGINT) AS n_runs FROM runs GROUP BY ROLLUP (component)""")
 def timing_report(spark, sf):
     t = G.timing_report(S.runs(spark, sf))
-    return t.select("component", F.round("seconds", 6).alias("seconds"), "n_runs")
+    return t.select("component", r6("seconds").alias("seconds"), "n_runs")
 
 
 @query("efficiency_ranking", f"""WITH {I.RUNS},
@@ -85,5 +87,5 @@ SELECT component, round(mean_s, 6) AS mean_s, CAST(row_number() OVER (ORDER BY m
        round(mean_s / min(mean_s) OVER (), 6) AS ratio FROM m""")
 def efficiency_ranking(spark, sf):
     e = G.efficiency_ranking(S.runs(spark, sf))
-    return e.select("component", F.round("mean_s", 6).alias("mean_s"), F.col("rank").cast("int"),
-                    F.round("ratio", 6).alias("ratio"))
+    return e.select("component", r6("mean_s").alias("mean_s"), F.col("rank").cast("int"),
+                    r6("ratio").alias("ratio"))

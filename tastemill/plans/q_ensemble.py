@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tastemill.functions.core import r6  # noqa: F811
+
 from tastemill.operators import baselines as B
 from tastemill.operators import ensemble as E
 from tastemill.operators import profiles as P
@@ -114,7 +116,7 @@ FROM rates""")
 def model_success_rate(spark, sf):
     log, fb = _log(spark, sf)
     r = E.model_success_rate(log, fb)
-    return r.select("user_id", "model", "total", "success", F.round("rate", 6).alias("rate"))
+    return r.select("user_id", "model", "total", "success", r6("rate").alias("rate"))
 
 
 @query("update_weights", f"""WITH {_RATES_SQL}
@@ -123,7 +125,7 @@ def update_weights(spark, sf):
     log, fb = _log(spark, sf)
     r = E.model_success_rate(log, fb)
     w = E.update_weights(r, _weights(spark, ["genre", "popularity"]))
-    return w.select("user_id", "model", F.round("weight", 6).alias("weight"))
+    return w.select("user_id", "model", r6("weight").alias("weight"))
 
 
 @query("weight_replay", f"""WITH {_LOG_SQL}, {I.FEEDBACK},
@@ -151,7 +153,7 @@ def weight_replay(spark, sf):
           .withColumn("rate", F.when(F.col("total") > 0, (F.col("success") + 1.0) / (F.col("total") + 2.0))
                       .otherwise(F.lit(0.5))))
     w = E.weight_replay(rr, _weights(spark, ["genre", "popularity"]))
-    return w.select("user_id", "model", F.col("round").cast("int"), F.round("weight", 6).alias("weight"))
+    return w.select("user_id", "model", F.col("round").cast("int"), r6("weight").alias("weight"))
 
 
 _POP45 = R.POP_SQL.replace(f"WHERE rank <= {N}", f"WHERE rank <= {3 * N}")

@@ -86,11 +86,16 @@ def dedupe_ids(spark, sf):
 
 
 @query("feature_projection", I.with_(I.CATALOG) + """
-SELECT item_id, price, size, n_orders, qty, avg_price, avg_discount FROM catalog""")
+SELECT item_id, round(price, 6) AS price, round(size, 6) AS size, round(n_orders, 6) AS n_orders, round(qty, 6) AS qty,
+       round(avg_price + 1e-9, 6) AS avg_price, round(avg_discount + 1e-9, 6) AS avg_discount FROM catalog""")
 def feature_projection(spark, sf):
     cat = _cat(spark, sf)
-    cols = X.pick_columns(cat, FEATS + ["vote_average", "popularity"]) if hasattr(X, "pick_columns") else FEATS
-    return cat.select("item_id", *cols)
+    from tastemill.functions.core import pick_columns
+    cols = pick_columns(cat, FEATS + ["vote_average", "popularity"])   # keep the ones that exist
+    # averages of two-decimal values can sit exactly on a rounding tie; a
+    # 1e-9 nudge (far below their spacing) makes both engines round alike
+    nudge = {"avg_price", "avg_discount"}
+    return cat.select("item_id", *[r6(F.col(c) + (1e-9 if c in nudge else 0.0)).alias(c) for c in cols])
 
 
 @query("display_projection", I.with_(I.CATALOG) + """
@@ -264,10 +269,10 @@ def impute_mean(spark, sf):
 
 
 @query("fill_zero", I.with_(I.CATALOG) + """
-SELECT item_id, round(coalesce(avg_discount, 0.0), 6) AS avg_discount FROM catalog""")
+SELECT item_id, round(coalesce(avg_discount, 0.0) + 1e-9, 6) AS avg_discount FROM catalog""")
 def fill_zero(spark, sf):
     c = X.fill_zero(_cat(spark, sf).select("item_id", "avg_discount"), ["avg_discount"])
-    return c.select("item_id", r6("avg_discount").alias("avg_discount"))
+    return c.select("item_id", r6(F.col("avg_discount") + 1e-9).alias("avg_discount"))
 
 
 _zsel = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in FEATS)
@@ -312,7 +317,7 @@ FROM feats f""")
 def feature_assembly(spark, sf):
     from tastemill.operators.assemble import assemble_item_vectors
     return assemble_item_vectors(_cat(spark, sf), POLY).select(
-        "item_id", F.transform("features", lambda x: F.round(x, 6)).alias("features"))
+        "item_id", F.transform("features", lambda x: r6(x)).alias("features"))
 
 
 # -------------------------------------------------------------------- feedback / profiles
@@ -365,7 +370,7 @@ _fi_aggs = ", ".join(f"var_pop(CASE WHEN fb.label = 1 THEN f.{c} END) AS v_{c},
                      f"avg(CASE WHEN fb.label = -1 THEN f.{c} END) AS md_{c}" for c in POLY)
 
 
-@query("feature_importance", I.with_(I.CATALOG, I.FEEDBACK, I.feats(POLY)) + f"""
+IMPORTANCE_RAW_SQL = I.with_(I.CATALOG, I.FEEDBACK, I.feats(POLY)) + f"""
 , prof AS (SELECT fb.user_id, count_if(fb.label = 1) AS n_like, count_if(fb.label = -1) AS n_dislike, {_fi_aggs}
            FROM feedback fb JOIN feats f ON f.item_id = fb.item_id GROUP BY fb.user_id),
 l AS ({_fi_stack}),
@@ -373,9 +378,13 @@ w0 AS (SELECT *, CASE WHEN n_like > 1 THEN 1.0 / (v + 0.1) ELSE 1.0 END AS w0 FR
 w1 AS (SELECT *, CASE WHEN n_like > 1 THEN w0 / sum(w0) OVER (PARTITION BY user_id) ELSE w0 END AS w1 FROM w0),
 w2 AS (SELECT *, CASE WHEN n_dislike > 0 THEN w1 * abs(ml - md) ELSE w1 END AS w2 FROM w1)
 SELECT user_id, feature,
-       round(CASE WHEN n_dislike > 0 THEN coalesce(w2 / nullif(sum(w2) OVER (PARTITION BY user_id), 0), w1)
-                  ELSE w1 END, 6) AS weight
-FROM w2""")
+       CASE WHEN n_dislike > 0 THEN coalesce(w2 / nullif(sum(w2) OVER (PARTITION BY user_id), 0), w1)
+            ELSE w1 END AS weight
+FROM w2"""
+
+
+@query("feature_importance", f"""WITH raw AS ({IMPORTANCE_RAW_SQL})
+SELECT user_id, feature, round(weight, 6) + 0.0 AS weight FROM raw""")
 def feature_importance(spark, sf):
     z = X.item_features(_cat(spark, sf), POLY)
     w = P.feature_importance(S.feedback(spark, sf), z, POLY)

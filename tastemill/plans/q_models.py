@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tastemill.functions.core import r6  # noqa: F811
+
 from tastemill.operators import cf as C
 from tastemill.operators import clusters as K
 from tastemill.operators import ensemble as E
@@ -64,7 +66,7 @@ FROM vectors GROUP BY genre""")
 def cluster_centroids(spark, sf):
     v = _vec(spark, sf)
     c = K.cluster_centroids(v, v.select("item_id", F.col("genre").alias("cluster")))
-    return c.select("cluster", F.transform("centroid", lambda x: F.round(x, 6)).alias("centroid"))
+    return c.select("cluster", F.transform("centroid", lambda x: r6(x)).alias("centroid"))
 
 
 @query("nearest_centroid", I.with_(I.VECTORS) + f"""
@@ -208,7 +210,7 @@ def index_ids(spark, sf):
 
 @query("interaction_matrix", I.with_(I.INTERACTIONS) + "SELECT user_id, item_id, round(rating, 6) AS rating FROM interactions")
 def interaction_matrix(spark, sf):
-    return S.interactions(spark, sf).select("user_id", "item_id", F.round("rating", 6).alias("rating"))
+    return S.interactions(spark, sf).select("user_id", "item_id", r6("rating").alias("rating"))
 
 
 @query("stratified_interactions", I.with_(I.CATALOG, I.INTERACTIONS) + f"""
@@ -221,7 +223,7 @@ k AS (SELECT j.*, row_number() OVER (PARTITION BY j.user_id, j.genre ORDER BY {_
 SELECT user_id, genre, item_id, round(rating, 6) AS rating FROM k WHERE ir <= 10 + {_hnum(_h('user_id', 'genre'))} % 21""")
 def stratified_interactions(spark, sf):
     s = C.stratified_interactions(S.interactions(spark, sf), S.catalog(spark, sf), SEED)
-    return s.select("user_id", "genre", "item_id", F.round("rating", 6).alias("rating"))
+    return s.select("user_id", "genre", "item_id", r6("rating").alias("rating"))
 
 
 @query("uniform_interactions", I.with_(I.INTERACTIONS) + f"""
@@ -230,7 +232,7 @@ SELECT user_id, item_id, round(rating, 6) AS rating FROM (
 WHERE ir <= 50 + {_hnum(_h('user_id'))} % 150""")
 def uniform_interactions(spark, sf):
     u = C.uniform_interactions(S.interactions(spark, sf), SEED)
-    return u.select("user_id", "item_id", F.round("rating", 6).alias("rating"))
+    return u.select("user_id", "item_id", r6("rating").alias("rating"))
 
 
 @query("override_user_row", I.with_(I.INTERACTIONS, I.FEEDBACK) + f"""
@@ -242,7 +244,7 @@ FROM feedback WHERE label <> 0""")
 def override_user_row(spark, sf):
     """Customers with feedback replace their own interaction rows."""
     o = C.override_user_rows(S.interactions(spark, sf), S.feedback(spark, sf))
-    return o.select("user_id", "item_id", F.round("rating", 6).alias("rating"), "source")
+    return o.select("user_id", "item_id", r6("rating").alias("rating"), "source")
 
 
 def _als(spark, sf):

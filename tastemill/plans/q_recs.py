@@ -5,6 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tastemill.functions.core import r6
+
 from tastemill.operators import baselines as B
 from tastemill.operators.features import item_features
 from tastemill.plans import inputs as I
@@ -102,7 +104,7 @@ def popularity_threshold(spark, sf):
     t = B.popularity_threshold(cat, "n_orders", 0.8)
     return (cat.filter(F.col("n_orders") >= F.lit(t))
             .agg(F.count(F.lit(1)).alias("n_popular"))
-            .select(F.round(F.lit(t), 6).alias("threshold"), "n_popular"))
+            .select(r6(F.lit(t)).alias("threshold"), "n_popular"))
 
 
 CS_N = 25

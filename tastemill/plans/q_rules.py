@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tastemill.functions.core import r6  # noqa: F811
+
 from tastemill.operators import rules as U
 from tastemill.plans.registry import query
 from tastemill.sources import tables as S
@@ -129,7 +131,7 @@ SELECT author, CAST(n_texts AS BIGINT) AS n_texts, round(avg_broken, 6) AS avg_b
        CAST(rank() OVER (ORDER BY round(avg_broken, 6)) AS INTEGER) AS rank FROM a""")
 def rule_league(spark, sf):
     lg = U.author_league(U.broken_rules(_results(spark, sf)))
-    return lg.select("author", "n_texts", F.round("avg_broken", 6).alias("avg_broken"), F.col("rank").cast("int"))
+    return lg.select("author", "n_texts", r6("avg_broken").alias("avg_broken"), F.col("rank").cast("int"))
 
 
 _VALUES = ", ".join(f"({i}, {_lit(t)})" for i, t, _ in U.RULES)

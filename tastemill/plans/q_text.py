@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tastemill.functions.core import r6  # noqa: F811
+
 from tastemill.operators import dialogue as D
 from tastemill.operators import retrieval as T
 from tastemill.plans.registry import query
@@ -47,7 +49,7 @@ def tokenize(spark, sf):
 SELECT doc_id, term, round(w, 6) AS weight FROM dw""")
 def tfidf_weights(spark, sf):
     w, _ = T.tfidf_weights(S.corpus(spark, sf), "doc_id")
-    return w.select("doc_id", "term", F.round("weight", 6).alias("weight"))
+    return w.select("doc_id", "term", r6("weight").alias("weight"))
 
 
 @query("retrieve_topn", f"WITH {RETRIEVE_CTE} SELECT * FROM hits")

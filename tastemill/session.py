@@ -56,3 +56,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     local = tempfile.mkdtemp(prefix="tastemill-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     return local
+
+
+def materialize(df, name: str = "t"):
+    """Write ``df`` once as parquet under the session's checkpoint folder
+    and return a DataFrame reading it back.
+
+    This cuts lineage like ``checkpoint()`` but computes ``df`` only once
+    (an eager RDD checkpoint computes it twice unless cached), and the
+    files live in the shared folder, so they survive lost executors.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -31,8 +31,17 @@ PRIORITY_CODE = {"1-URGENT": 1, "2-HIGH": 2, "3-MEDIUM": 3, "4-NOT SPECIFIED": 4
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of the test set. Column pruning and filters
-    written downstream reach the scan (ReadSchema / PushedFilters)."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    written downstream reach the scan (ReadSchema / PushedFilters).
+
+    A file with a single row group is read by one task, which would leave
+    all map-side work before the first shuffle on one core. When the scan
+    has fewer partitions than the cluster's parallelism it is spread
+    round-robin (a no-op for large inputs, which already split)."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    par = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        df = df.repartition(par)
+    return df
 
 
 def scan_catalog_csv(spark: SparkSession, paths: list[str], schema: T.StructType,
