@@ -370,21 +370,22 @@ _fi_aggs = ", ".join(f"var_pop(CASE WHEN fb.label = 1 THEN f.{c} END) AS v_{c},
                      f"avg(CASE WHEN fb.label = -1 THEN f.{c} END) AS md_{c}" for c in POLY)
 
 
-IMPORTANCE_RAW_SQL = I.with_(I.CATALOG, I.FEEDBACK, I.feats(POLY)) + f"""
-, prof AS (SELECT fb.user_id, count_if(fb.label = 1) AS n_like, count_if(fb.label = -1) AS n_dislike, {_fi_aggs}
+IMPORTANCE_CTES = f"""
+, imp_prof AS (SELECT fb.user_id, count_if(fb.label = 1) AS n_like, count_if(fb.label = -1) AS n_dislike, {_fi_aggs}
            FROM feedback fb JOIN feats f ON f.item_id = fb.item_id GROUP BY fb.user_id),
-l AS ({_fi_stack}),
-w0 AS (SELECT *, CASE WHEN n_like > 1 THEN 1.0 / (v + 0.1) ELSE 1.0 END AS w0 FROM l),
-w1 AS (SELECT *, CASE WHEN n_like > 1 THEN w0 / sum(w0) OVER (PARTITION BY user_id) ELSE w0 END AS w1 FROM w0),
-w2 AS (SELECT *, CASE WHEN n_dislike > 0 THEN w1 * abs(ml - md) ELSE w1 END AS w2 FROM w1)
-SELECT user_id, feature,
+imp_long AS ({_fi_stack.replace("FROM prof", "FROM imp_prof")}),
+imp_w0 AS (SELECT *, CASE WHEN n_like > 1 THEN 1.0 / (v + 0.1) ELSE 1.0 END AS w0 FROM imp_long),
+imp_w1 AS (SELECT *, CASE WHEN n_like > 1 THEN w0 / sum(w0) OVER (PARTITION BY user_id) ELSE w0 END AS w1 FROM imp_w0),
+imp_w2 AS (SELECT *, CASE WHEN n_dislike > 0 THEN w1 * abs(ml - md) ELSE w1 END AS w2 FROM imp_w1),
+importance AS (SELECT user_id, feature,
        CASE WHEN n_dislike > 0 THEN coalesce(w2 / nullif(sum(w2) OVER (PARTITION BY user_id), 0), w1)
             ELSE w1 END AS weight
-FROM w2"""
+FROM imp_w2)"""
+IMPORTANCE_RAW_SQL = I.with_(I.CATALOG, I.FEEDBACK, I.feats(POLY)) + IMPORTANCE_CTES + "\nSELECT * FROM importance"
 
 
-@query("feature_importance", f"""WITH raw AS ({IMPORTANCE_RAW_SQL})
-SELECT user_id, feature, round(weight, 6) + 0.0 AS weight FROM raw""")
+@query("feature_importance", I.with_(I.CATALOG, I.FEEDBACK, I.feats(POLY)) + IMPORTANCE_CTES + """
+SELECT user_id, feature, round(weight, 6) + 0.0 AS weight FROM importance""")
 def feature_importance(spark, sf):
     z = X.item_features(_cat(spark, sf), POLY)
     w = P.feature_importance(S.feedback(spark, sf), z, POLY)

@@ -21,10 +21,16 @@ from tastemill.session import ensure_checkpoint_dir
 from tastemill.sources.tables import COMPONENT_OF_EVENT, _map_expr
 
 
+def _table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """File stream over the table's folder, picking the table's files by
+    name; the schema comes from the batch table."""
+    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").schema
+    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
+            .option("maxFilesPerTrigger", 1).parquet(sf_dir.rstrip("/")))
+
+
 def _events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{sf_dir.rstrip('/')}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return _table_stream(spark, sf_dir, "events")
 
 
 def run_to_table(stream: DataFrame, keys: list[str], name: str, mode: str = "update") -> DataFrame:
@@ -74,9 +80,7 @@ def stream_component_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_feedback_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-user feedback tallies updated as order lines arrive: likes,
     dislikes and the smoothed success rate (success+1)/(total+2)."""
-    path = f"{sf_dir.rstrip('/')}/lineitem.parquet"
-    schema = spark.read.parquet(path).schema
-    li = spark.readStream.schema(schema).parquet(path)
+    li = _table_stream(spark, sf_dir, "lineitem")
     orders = spark.read.parquet(f"{sf_dir.rstrip('/')}/orders.parquet").select("o_orderkey", "o_custkey")
     j = li.join(orders, li.l_orderkey == orders.o_orderkey)          # stream-static join
     agg = j.groupBy(F.col("o_custkey").alias("user_id")).agg(
