@@ -52,7 +52,7 @@ def feature_importance(feedback: DataFrame, feats: DataFrame, cols: list[str]) -
     """Long table (user_id, feature, weight), weights summing to 1 per user.
 
     More than one like: w_f = 1/(var_pop_f(liked)+0.1), normalised; else all
-    ones (normalised to 1/d). With dislikes, w_f *= |mean_liked_f -
+    ones. With dislikes, w_f *= |mean_liked_f -
     mean_disliked_f| and renormalised. Stateless: every user starts from
     ones.
     """
@@ -70,11 +70,14 @@ def feature_importance(feedback: DataFrame, feats: DataFrame, cols: list[str]) -
     base = F.when(F.col("n_like") > 1, 1.0 / (F.col("v") + F.lit(0.1))).otherwise(F.lit(1.0))
     from pyspark.sql import Window
     w = Window.partitionBy("user_id")
-    long = long.withColumn("w0", base).withColumn("w1", safe_div(F.col("w0"), F.sum("w0").over(w)))
+    long = long.withColumn("w0", base).withColumn(
+        "w1", F.when(F.col("n_like") > 1, safe_div(F.col("w0"), F.sum("w0").over(w))).otherwise(F.col("w0")))
     sep = F.abs(F.col("ml") - F.col("md"))
     long = long.withColumn(
         "w2", F.when(F.col("n_dislike") > 0, F.col("w1") * sep).otherwise(F.col("w1")))
-    long = long.withColumn("weight", F.coalesce(safe_div(F.col("w2"), F.sum("w2").over(w)), F.col("w1")))
+    long = long.withColumn("weight", F.when(
+        F.col("n_dislike") > 0, F.coalesce(safe_div(F.col("w2"), F.sum("w2").over(w)), F.col("w1"))
+    ).otherwise(F.col("w1")))
     return long.select("user_id", "feature", "weight")
 
 

@@ -30,6 +30,6 @@ def test_snippet_and_rounding(spark):
     df = spark.createDataFrame([("x" * 250,), ("short",)], "t string").select(snippet("t").alias("s"))
     s = [r["s"] for r in df.collect()]
     assert len(s[0]) == 200 and s[0].endswith("...") and s[1] == "short"
-    v = spark.createDataFrame([(-1e-9,), (2.5e-7,), (-2.5e-7,)], "x double").select(r6("x").alias("y"))
+    v = spark.createDataFrame([(-1e-9,), (7.7e-6,), (-7.7e-6,)], "x double").select(r6("x").alias("y"))
     ys = [r["y"] for r in v.collect()]
-    assert str(ys[0]) == "0.0" and ys[1] == 1e-6 and ys[2] == -1e-6
+    assert str(ys[0]) == "0.0" and ys[1] == 8e-6 and ys[2] == -8e-6
