@@ -59,8 +59,9 @@ VECTORS = """vectors AS (
   SELECT vec_id AS item_id, CAST(embedding AS DOUBLE[]) AS features, label AS genre FROM embeddings)"""
 
 
-def feats(cols: list[str], name: str = "feats") -> str:
-    """Median-filled, z-scored (population std) catalogue features."""
+def feats(cols: list[str], name: str = "feats", text: bool = True) -> str:
+    """Median-filled, z-scored (population std) catalogue features
+    (``text=False`` leaves out the genre columns)."""
     med = ", ".join(f"median({c}) AS m_{c}" for c in cols)
     fill = ", ".join(f"coalesce(CAST(c.{c} AS DOUBLE), m.m_{c}) AS {c}" for c in cols)
     st = ", ".join(f"avg({c}) AS a_{c}, stddev_pop({c}) AS s_{c}" for c in cols)
@@ -68,9 +69,9 @@ def feats(cols: list[str], name: str = "feats") -> str:
         f"(f.{c} - s.a_{c}) / (CASE WHEN s.s_{c} = 0 OR s.s_{c} IS NULL THEN 1.0 ELSE s.s_{c} END) AS {c}"
         for c in cols)
     return f"""{name}_med AS (SELECT {med} FROM catalog),
-{name}_fill AS (SELECT c.item_id, c.genre, c.genres, {fill} FROM catalog c, {name}_med m),
+{name}_fill AS (SELECT c.item_id, {"c.genre, c.genres, " if text else ""}{fill} FROM catalog c, {name}_med m),
 {name}_st AS (SELECT {st} FROM {name}_fill),
-{name} AS (SELECT f.item_id, f.genre, f.genres, {z} FROM {name}_fill f, {name}_st s)"""
+{name} AS (SELECT f.item_id, {"f.genre, f.genres, " if text else ""}{z} FROM {name}_fill f, {name}_st s)"""
 
 
 def with_(*ctes: str) -> str:
