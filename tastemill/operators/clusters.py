@@ -35,6 +35,13 @@ def training_sample(df: DataFrame, size: int, seed: int = 42, key: str = "item_i
     return df.withColumn("_h", hash_key(seed, key)).orderBy("_h", key).limit(size).drop("_h")
 
 
+def _parallel(tasks, threads: int = 4) -> list:
+    """Run independent fits as concurrent jobs (results in task order)."""
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=threads) as ex:
+        return list(ex.map(lambda t: t(), tasks))
+
+
 def _vec(df: DataFrame, col: str = "features") -> DataFrame:
     return df.withColumn("_v", array_to_vector(F.col(col)))
 
@@ -43,12 +50,10 @@ def kmeans_assign(df: DataFrame, k: int, seed: int = 42, restarts: int = 10,
                   max_iter: int = 20) -> DataFrame:
     """Best of ``restarts`` seeded fits by training cost → (item_id, cluster)."""
     v = _vec(df).cache()
-    best, cost = None, None
-    for r in range(restarts):
-        m = KMeans(k=k, seed=seed + r, maxIter=max_iter, featuresCol="_v").fit(v)
-        c = m.summary.trainingCost
-        if cost is None or c < cost:
-            best, cost = m, c
+    # restarts are independent fits: run them as concurrent Spark jobs
+    fits = _parallel([lambda r=r: KMeans(k=k, seed=seed + r, maxIter=max_iter, featuresCol="_v").fit(v)
+                      for r in range(restarts)])
+    best = min(fits, key=lambda m: (m.summary.trainingCost, fits.index(m)))
     out = best.transform(v).select("item_id", F.col("prediction").alias("cluster"))
     v.unpersist()
     return out
@@ -56,12 +61,9 @@ def kmeans_assign(df: DataFrame, k: int, seed: int = 42, restarts: int = 10,
 
 def gmm_assign(df: DataFrame, k: int, seed: int = 42, restarts: int = 3, max_iter: int = 50) -> DataFrame:
     v = _vec(df).cache()
-    best, ll = None, None
-    for r in range(restarts):
-        m = GaussianMixture(k=k, seed=seed + r, maxIter=max_iter, featuresCol="_v").fit(v)
-        x = m.summary.logLikelihood
-        if ll is None or x > ll:
-            best, ll = m, x
+    fits = _parallel([lambda r=r: GaussianMixture(k=k, seed=seed + r, maxIter=max_iter, featuresCol="_v").fit(v)
+                      for r in range(restarts)])
+    best = max(fits, key=lambda m: (m.summary.logLikelihood, -fits.index(m)))
     out = best.transform(v).select("item_id", F.col("prediction").alias("cluster"))
     v.unpersist()
     return out
