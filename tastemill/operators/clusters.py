@@ -167,3 +167,50 @@ def cluster_recommend(feedback: DataFrame, assigns: dict[str, DataFrame], weight
             .join(feedback.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti"))
     out = top_n(allc, ["user_id"], [r6("score").desc(), F.col("item_id")], n)
     return out.select("user_id", "item_id", r6("score").alias("score"), F.col("rank").cast("int"))
+
+
+# ------------------------------------------------------------ reduction / representatives
+def svd_reduce(df: DataFrame, k: int = 20, col: str = "features"):
+    """Truncated SVD without centring (RowMatrix.computeSVD: a distributed
+    Gram matrix, then a local eigen-decomposition of a d × d matrix).
+
+    Returns (projected DataFrame with ``reduced`` array<double>, singular
+    values, explained ratio per component = s_j² / ‖X‖_F²). The k × d
+    basis is bounded by the feature count and is inlined into the
+    projection. With d <= k the input is returned unchanged."""
+    from pyspark.mllib.linalg import Vectors as MV
+    from pyspark.mllib.linalg.distributed import RowMatrix
+    d = df.select(F.size(col).alias("d")).first()["d"]
+    if d <= k:
+        return df.withColumn("reduced", F.col(col)), [], []
+    rows = df.select(col).rdd.map(lambda r: MV.dense(r[0]))
+    svd = RowMatrix(rows).computeSVD(k, computeU=False)
+    s = [float(x) for x in svd.s.toArray()]
+    V = svd.V.toArray()                      # d × k
+    total = df.select(F.aggregate(F.col(col), F.lit(0.0), lambda a, x: a + x * x).alias("q")) \
+        .agg(F.sum("q")).first()[0]
+    comps = []
+    for j in range(V.shape[1]):
+        vj = F.array(*[F.lit(float(x)) for x in V[:, j]])
+        comps.append(F.aggregate(F.zip_with(F.col(col), vj, lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x))
+    out = df.withColumn("reduced", F.array(*comps))
+    return out, s, [x * x / total for x in s]
+
+
+def representatives(df: DataFrame, k: int, seed: int = 42, by: str | None = None,
+                    quota: DataFrame | None = None) -> DataFrame:
+    """One item per k-means cluster (first in the seeded hash order).
+
+    With ``by`` (a genre column) and ``quota(genre, quota)``: clusters come
+    from one global k-means; inside each genre one item per (genre,
+    cluster) is taken, then the genre keeps its ``quota`` first picks in
+    hash order (a genre smaller than its quota is taken whole)."""
+    a = kmeans_assign(df, k, seed, restarts=1)
+    j = df.join(a, "item_id").withColumn("h", hash_key(seed, "item_id"))
+    keys = ([by] if by else []) + ["cluster"]
+    pick = j.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "item_id"))).filter("_r = 1")
+    if not by:
+        return pick.select("item_id", "cluster")
+    pick = pick.withColumn("_g", F.row_number().over(Window.partitionBy(by).orderBy("h", "item_id")))
+    return (pick.join(quota, by).filter(F.col("_g") <= F.col("quota"))
+            .select(by, "item_id", "cluster"))

@@ -327,3 +327,45 @@ SELECT user_id, item_id, CAST(rank AS INTEGER) AS rank FROM (
 def cf_fallback_random(spark, sf):
     fb = S.feedback(spark, sf)
     return C.random_unrated(fb, S.catalog(spark, sf), fb.select("user_id"), N, SEED)
+
+
+@query("svd_reduce")
+def svd_reduce(spark, sf):
+    """Explained share per SVD component of the 64-d vectors (no centring)."""
+    v = _vec(spark, sf)
+    _, s, ratio = K.svd_reduce(v, 20)
+    return spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(s, ratio))],
+                                 "component int, singular_value double, explained double")
+
+
+@query("svd_projection")
+def svd_projection(spark, sf):
+    """Vectors projected on the 20 leading right singular vectors."""
+    out, _, _ = K.svd_reduce(_vec(spark, sf), 20)
+    return out.select("item_id", "reduced")
+
+
+_REP_COLS = ["price", "size", "n_orders", "avg_discount"]
+
+
+def _rep_feats(spark, sf):
+    from tastemill.operators.features import item_features
+    f = item_features(S.catalog(spark, sf), _REP_COLS)
+    return f.select("item_id", "genre", F.array(*_REP_COLS).alias("features"))
+
+
+@query("cluster_representatives")
+def cluster_representatives(spark, sf):
+    """Cold-start picks: genre quotas (proportional), one item per
+    (genre, cluster) of a global k-means on four features."""
+    from tastemill.operators import baselines as B
+    cat = S.catalog(spark, sf)
+    q = B.proportional_quota(cat, n=25).select("genre", "quota")
+    k = int(q.agg(F.max("quota")).first()[0])
+    return K.representatives(_rep_feats(spark, sf), k, SEED, by="genre", quota=q)
+
+
+@query("global_representatives")
+def global_representatives(spark, sf):
+    """No genre: k-means with k = n, one item per cluster."""
+    return K.representatives(_rep_feats(spark, sf), 25, SEED)

@@ -153,3 +153,48 @@ FROM q2"""
 @query("proportional_quota", QUOTA_SQL)
 def proportional_quota(spark, sf):
     return B.proportional_quota(S.catalog(spark, sf), n=CS_N)
+
+
+TOPUP_SQL = I.with_(I.CATALOG, I.FEEDBACK) + f"""
+, chosen AS (SELECT user_id, item_id, CAST(r AS DOUBLE) AS o, 0 AS tier FROM (
+    SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY item_id) AS r
+    FROM feedback WHERE label = 1) c WHERE r <= 3),
+users AS (SELECT DISTINCT user_id FROM chosen),
+pool AS (SELECT item_id, row_number() OVER (ORDER BY md5('{SEED}:' || CAST(item_id AS VARCHAR)), item_id) AS pos
+         FROM catalog),
+extra AS (SELECT u.user_id, p.item_id, CAST(p.pos AS DOUBLE) AS o, 1 AS tier FROM users u JOIN pool p ON p.pos <= 20),
+best AS (SELECT user_id, item_id, tier, o FROM (
+    SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY tier, o) AS k
+    FROM (SELECT * FROM chosen UNION ALL SELECT * FROM extra) a) b WHERE k = 1)
+SELECT user_id, item_id, tier, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY tier, o, item_id) AS rank FROM best) z
+WHERE rank <= 10"""
+
+
+@query("top_up", TOPUP_SQL)
+def top_up_q(spark, sf):
+    """Short lists (each user's first three liked items) filled to ten with
+    catalogue items in hash order, never repeating a chosen item."""
+    from pyspark.sql import Window
+    fb = S.feedback(spark, sf).filter(F.col("label") == 1)
+    chosen = (fb.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy("item_id")))
+              .filter(F.col("rank") <= 3).select("user_id", "item_id", "rank"))
+    return B.top_up(chosen, S.catalog(spark, sf).select("item_id"), 10, SEED)
+
+
+def _disp(sql_name: str, sql: str) -> str:
+    return f"""SELECT '{sql_name}' AS strategy, r.user_id, r.rank, r.item_id, c.title, c.subgenre AS artist, c.genre,
+       round(c.price, 6) AS rating FROM ({sql}) r JOIN ({I.with_(I.CATALOG)} SELECT * FROM catalog) c ON c.item_id = r.item_id"""
+
+
+@query("recs_display", _disp("genre", GENRE_SQL) + "\nUNION ALL\n" + _disp("popularity", POP_SQL))
+def recs_display(spark, sf):
+    """Two strategies side by side with display columns."""
+    from tastemill.functions.core import r6
+    cat = S.catalog(spark, sf).select("item_id", "title", F.col("subgenre").alias("artist"), "genre",
+                                      r6("price").alias("rating"))
+    fb = S.feedback(spark, sf)
+    g = B.genre_based_recommend(fb, S.catalog(spark, sf), n=N, seed=SEED).withColumn("strategy", F.lit("genre"))
+    p = B.popularity_recommend(fb, S.catalog(spark, sf), "n_orders", n=N, seed=SEED).withColumn("strategy", F.lit("popularity"))
+    recs = g.unionByName(p).select("strategy", "user_id", "rank", "item_id")
+    return recs.join(cat, "item_id").select("strategy", "user_id", "rank", "item_id", "title", "artist", "genre", "rating")

@@ -171,3 +171,10 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rule_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents").select(
         "doc_id", F.col("source").alias("author"), "text")
+
+
+def write_recs(recs: DataFrame, path: str, model_col: str = "model") -> None:
+    """Sink: recommendations as parquet, partitioned by model, each model's
+    rows clustered by user so later per-user reads touch few files."""
+    (recs.repartition(model_col, "user_id").sortWithinPartitions(model_col, "user_id", "rank")
+     .write.mode("overwrite").partitionBy(model_col).parquet(path))
