@@ -22,6 +22,8 @@ from tastemill.functions.core import r6  # noqa: F811
 
 from tastemill.functions.core import dense_positions, hash_key, top_n
 
+_DEBUG = False
+
 
 def cluster_count(n_rows: int, per: int = 100, cap: int = 20, floor: int = 2) -> int:
     """k = min(cap, n // per), never below ``floor`` (the plain formula
@@ -130,27 +132,30 @@ def cluster_recommend(feedback: DataFrame, assigns: dict[str, DataFrame], weight
     list by item id. Rated items are excluded (anti join).
     Returns (user_id, item_id, score, rank).
     """
+    from tastemill.session import materialize
     methods = list(assigns)
     wide = None
     for m in methods:
         a = assigns[m].select("item_id", F.col("cluster").alias(f"c_{m}"))
         wide = a if wide is None else wide.join(a, "item_id")
+    wide = materialize(wide, "cluster-assign")          # items-sized; every later step reads it
     keys = [f"c_{m}" for m in methods]
     pos = _group_positions(wide, keys)
     combos = wide.select(*keys).distinct()
-    rated = feedback.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_rated"))
+    fb = feedback.select("user_id", "item_id", "label").persist()
+    rated = fb.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_rated"))
+    sc = {m: materialize(cluster_scores(fb, wide.select("item_id", F.col(f"c_{m}").alias("cluster")))
+                         .select("user_id", F.col("cluster").alias(f"c_{m}"),
+                                 (F.col("score") * weights[m]).alias(f"s_{m}")), "cluster-scores")
+          for m in methods}
     scored = None
     for m in methods:
-        s = cluster_scores(feedback, assigns[m]).select("user_id", F.col("cluster").alias(f"c_{m}"),
-                                                        (F.col("score") * weights[m]).alias(f"s_{m}"))
         # combinations that contain a scored cluster of method m
-        part = s.join(combos, f"c_{m}").select("user_id", *keys)
+        part = sc[m].join(combos, f"c_{m}").select("user_id", *keys)
         scored = part if scored is None else scored.unionByName(part)
     scored = scored.distinct()
     for m in methods:
-        s = cluster_scores(feedback, assigns[m]).select("user_id", F.col("cluster").alias(f"c_{m}"),
-                                                        (F.col("score") * weights[m]).alias(f"s_{m}"))
-        scored = scored.join(s, ["user_id", f"c_{m}"], "left")
+        scored = scored.join(sc[m], ["user_id", f"c_{m}"], "left")
     total = None
     for m in methods:
         t = F.coalesce(F.col(f"s_{m}"), F.lit(0.0))
@@ -164,9 +169,13 @@ def cluster_recommend(feedback: DataFrame, assigns: dict[str, DataFrame], weight
         "pos", F.explode(F.sequence(F.lit(1), (2 * (F.lit(n) + F.col("n_rated"))).cast("int"))))
     fill = fill_w.join(gpos, ["g", "pos"]).select("user_id", "item_id", F.lit(0.0).alias("score"))
     allc = (cand.unionByName(fill).groupBy("user_id", "item_id").agg(F.max("score").alias("score"))
-            .join(feedback.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti"))
-    out = top_n(allc, ["user_id"], [r6("score").desc(), F.col("item_id")], n)
-    return out.select("user_id", "item_id", r6("score").alias("score"), F.col("rank").cast("int"))
+            .join(fb.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti"))
+    out = top_n(allc.withColumn("score", r6("score")), ["user_id"], [F.col("score").desc(), F.col("item_id")], n)
+    if _DEBUG:
+        out.explain("formatted")
+    res = materialize(out.select("user_id", "item_id", "score", F.col("rank").cast("int")), "cluster-recs")
+    fb.unpersist()
+    return res
 
 
 # ------------------------------------------------------------ reduction / representatives
