@@ -80,15 +80,22 @@ def pick_columns(df: DataFrame, wanted: list[str]) -> list[str]:
     return [c for c in wanted if c in have]
 
 
-def dense_positions(df: DataFrame, order: list[str], out: str = "pos") -> DataFrame:
-    """1-based global position in ``order`` without a one-task window:
-    range partition on the order, number rows inside each partition, and
-    add the row count of all earlier partitions (one row per partition)."""
+def dense_positions(df: DataFrame, order: list[str], out: str = "pos",
+                    group: list[str] | None = None) -> DataFrame:
+    """1-based position in ``order`` (within each ``group`` if given),
+    without a one-task window even when one group holds most rows.
+
+    Range partition on (group, order), number rows inside each partition
+    and group, then add the row counts of the same group in all earlier
+    partitions (a table with at most partitions × groups-per-partition
+    rows, summed by a small window)."""
+    group = group or []
     n = df.sparkSession.sparkContext.defaultParallelism
-    ranged = df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id())
-    local = ranged.withColumn("_rn", F.row_number().over(Window.partitionBy("_pid").orderBy(*order)))
-    counts = local.groupBy("_pid").agg(F.max("_rn").alias("_cnt"))
+    ranged = df.repartitionByRange(n, *group, *order).withColumn("_pid", F.spark_partition_id())
+    local = ranged.withColumn("_rn", F.row_number().over(
+        Window.partitionBy("_pid", *group).orderBy(*order)))
+    counts = local.groupBy("_pid", *group).agg(F.max("_rn").alias("_cnt"))
     offs = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(
-        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return (local.join(F.broadcast(offs.select("_pid", "_off")), "_pid")
+        Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return (local.join(offs.select("_pid", *group, "_off"), ["_pid", *group])
             .withColumn(out, F.col("_off") + F.col("_rn")).drop("_pid", "_rn", "_off"))

@@ -54,17 +54,9 @@ def pruned_recommend(feedback: DataFrame, feats: DataFrame, cols: list[str],
 def ranked_items(items: DataFrame, seed: int, group: str | None = None) -> DataFrame:
     """(group?, pos, item_id, h): 1-based position in the seeded hash order,
     per group if given."""
-    h = hash_key(seed, "item_id")
-    w = Window.partitionBy(group).orderBy("h", "item_id") if group else Window.orderBy("h", "item_id")
     cols = [group] if group else []
-    base = items.select(*cols, "item_id").withColumn("h", h)
-    if group:
-        return base.withColumn("pos", F.row_number().over(w))
-    return _dense_positions(base)
-
-
-def _dense_positions(base: DataFrame) -> DataFrame:
-    return dense_positions(base, ["h", "item_id"])
+    base = items.select(*cols, "item_id").withColumn("h", hash_key(seed, "item_id"))
+    return dense_positions(base, ["h", "item_id"], "pos", cols)
 
 
 def prefix_pick(wants: DataFrame, ranked: DataFrame, group: str | None) -> DataFrame:
@@ -174,7 +166,8 @@ def coldstart_mix(catalog: DataFrame, n: int = 25, seed: int = 42,
     top_votes = c.filter(F.col("vr") <= half).withColumn("slot", F.col("vr"))
     rest = c.filter(F.col("vr") > half)
     wr = Window.partitionBy(genre_col).orderBy("h", "item_id")
-    rnd = rest.withColumn("slot", F.row_number().over(wr) + F.lit(half)).filter(F.col("slot") <= 2 * half)
+    rnd = (rest.withColumn("_rr", F.row_number().over(wr)).filter(F.col("_rr") <= half)
+           .withColumn("slot", F.col("_rr") + F.lit(half)).drop("_rr"))
     sel = top_votes.unionByName(rnd).select("item_id", genre_col, "slot")
     gw = Window.orderBy(genre_col, "slot")  # at most G * per rows: a bounded window
     sel = sel.withColumn("o", F.row_number().over(gw)).filter(F.col("o") <= n)

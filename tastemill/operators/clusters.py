@@ -118,8 +118,7 @@ def cluster_scores(feedback: DataFrame, assign: DataFrame) -> DataFrame:
 
 
 def _group_positions(assign_wide: DataFrame, keys: list[str]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy("item_id")
-    return assign_wide.withColumn("pos", F.row_number().over(w))
+    return dense_positions(assign_wide, ["item_id"], "pos", keys)
 
 
 def cluster_recommend(feedback: DataFrame, assigns: dict[str, DataFrame], weights: dict[str, float],

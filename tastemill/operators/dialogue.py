@@ -76,9 +76,12 @@ def is_stop(text: Column) -> Column:
 def kept_answers(turns: DataFrame) -> DataFrame:
     """User answers that enter the topic aggregate: before the first stop
     answer (which is not kept) and at most 1 + MAX_FOLLOWUPS of them."""
-    u = turns.filter(F.col("role") == "user").withColumn("stop", is_stop(F.col("text")).cast("int"))
-    w = _by_conv().rowsBetween(Window.unboundedPreceding, 0)
-    u = u.withColumn("stopped", F.max("stop").over(w)).filter(F.col("stopped") == 0)
+    u = turns.filter(F.col("role") == "user")
+    # first stop per conversation is an aggregate; the cap is a constant
+    # row_number limit (WindowGroupLimit), so no conversation is sorted whole
+    first_stop = u.filter(is_stop(F.col("text"))).groupBy("conv_id").agg(F.min("turn").alias("_stop"))
+    u = (u.join(first_stop, "conv_id", "left")
+         .filter(F.col("_stop").isNull() | (F.col("turn") < F.col("_stop"))))
     u = u.withColumn("k", F.row_number().over(_by_conv())).filter(F.col("k") <= 1 + MAX_FOLLOWUPS)
     return u.select("conv_id", "turn", F.trim("text").alias("answer"), "k")
 

@@ -54,8 +54,9 @@ def component_power(component: Column) -> Column:
 def component_energy(runs: DataFrame) -> DataFrame:
     """runs(run_id, component, seq, duration_s) → the last write per
     (run, component) wins; energy_wh = watts · seconds / 3600."""
-    w = Window.partitionBy("run_id", "component").orderBy(F.col("seq").desc())
-    last = runs.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    # max_by is a hash aggregate (map-side combine): a hot key costs one
+    # partial row per partition, not a sort of all its rows in one task
+    last = runs.groupBy("run_id", "component").agg(F.max_by("duration_s", "seq").alias("duration_s"))
     return last.select("run_id", "component", "duration_s",
                        component_power(F.col("component")).alias("watts"),
                        (component_power(F.col("component")) * F.col("duration_s") / 3600.0).alias("energy_wh"))

@@ -66,9 +66,12 @@ def assign_item_id(df: DataFrame, id_col: str | None, order_cols: list[str],
 
 
 def dedupe_ids(df: DataFrame, key: str, pos: str) -> DataFrame:
-    """Keep the first occurrence (smallest ``pos``) of every key."""
-    w = Window.partitionBy(key).orderBy(pos)
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    """Keep the first occurrence (smallest ``pos``) of every key: a
+    ``min_by`` hash aggregate, so a key repeated a million times is
+    combined map-side."""
+    others = [c for c in df.columns if c != key]
+    first = df.groupBy(key).agg(F.min_by(F.struct(*others), F.col(pos)).alias("_r"))
+    return first.select(key, *[F.col(f"_r.{c}").alias(c) for c in others])
 
 
 # ------------------------------------------------------------ imputation
