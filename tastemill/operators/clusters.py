@@ -160,7 +160,10 @@ def cluster_recommend(feedback: DataFrame, assigns: dict[str, DataFrame], weight
         t = F.coalesce(F.col(f"s_{m}"), F.lit(0.0))
         total = t if total is None else total + t
     scored = scored.withColumn("score", total).join(rated, "user_id")
-    wants = scored.withColumn("pos", F.explode(F.sequence(F.lit(1), (F.lit(n) + F.col("n_rated")).cast("int"))))
+    # never more positions than the combination holds (most hold one item)
+    sizes = pos.groupBy(*keys).agg(F.max("pos").alias("size"))
+    depth = F.least(F.lit(n) + F.col("n_rated"), F.col("size")).cast("int")
+    wants = scored.join(sizes, keys).withColumn("pos", F.explode(F.sequence(F.lit(1), depth)))
     cand = wants.join(pos, keys + ["pos"]).select("user_id", "item_id", "score")
     # zero-score fill: the first 2(n + rated) items by id cover any shortfall
     gpos = dense_positions(wide.select("item_id"), ["item_id"]).withColumn("g", F.lit(0))
