@@ -22,8 +22,6 @@ from tastemill.functions.core import r6  # noqa: F811
 
 from tastemill.functions.core import dense_positions, hash_key, top_n
 
-_DEBUG = False
-
 
 def cluster_count(n_rows: int, per: int = 100, cap: int = 20, floor: int = 2) -> int:
     """k = min(cap, n // per), never below ``floor`` (the plain formula
@@ -173,8 +171,6 @@ def cluster_recommend(feedback: DataFrame, assigns: dict[str, DataFrame], weight
     allc = (cand.unionByName(fill).groupBy("user_id", "item_id").agg(F.max("score").alias("score"))
             .join(fb.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti"))
     out = top_n(allc.withColumn("score", r6("score")), ["user_id"], [F.col("score").desc(), F.col("item_id")], n)
-    if _DEBUG:
-        out.explain("formatted")
     res = materialize(out.select("user_id", "item_id", "score", F.col("rank").cast("int")), "cluster-recs")
     fb.unpersist()
     return res
