@@ -50,8 +50,12 @@ def main() -> None:
         times[n] = round(time.time() - t0, 3)
         print(f"# {n}: {times[n]} s", file=sys.stderr, flush=True)
     total = round(sum(times.values()), 3)
+    # every recommender serves all users of the feedback table in one job
+    from tastemill.sources.tables import feedback
+    users = feedback(spark, sf).select("user_id").distinct().count()
     print(json.dumps({"metric": "headline_total_sec", "value": total, "unit": "sec",
-                      "queries": times, "sf": os.path.basename(sf.rstrip("/")).replace("sf", "")}))
+                      "queries": times, "sf": os.path.basename(sf.rstrip("/")).replace("sf", ""),
+                      "users_served": users}))
     spark.stop()
 
 
