@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tastemill.llm import decontaminate, lang_id, quality
+from tastemill.llm import ann, decontaminate, lang_id, pii, quality, sharding, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language": lang_id.op3_language,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_urls": url_filter.op6_urls,
+    "op7_nearest": ann.op7_nearest,
+    "op8_shards": sharding.op8_shards,
+    "op9_pii": pii.op9_pii,
     "op10_quality": quality.op10_quality,
 }
 
 SQL: dict[str, str] = {
     "op5_decontaminate": decontaminate.SQL,
+    "op7_nearest": ann.SQL,
 }
