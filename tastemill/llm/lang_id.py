@@ -107,10 +107,19 @@ def decode(margins: np.ndarray, code: np.ndarray) -> np.ndarray:
 def sample(labelled: DataFrame, rows: int = SAMPLE_ROWS, max_langs: int = MAX_LANGS) -> tuple[list[str], DataFrame]:
     """The languages to learn and an even, hash-ordered sample of them."""
     top = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
-    langs = sorted(r["lang"] for r in top)
+    count = {r["lang"]: r["count"] for r in top}
+    langs = sorted(count)
     each = max(1, rows // max(1, len(langs)))
+    if not langs:
+        return [], labelled.limit(0)
+    # a hash threshold thins each language to a few times its share, so the
+    # exact cut below moves a bounded number of texts at any size
+    share = F.lit(0.0)
+    for name in langs:
+        share = F.when(F.col("lang") == name, F.lit(min(1.0, (4 * each + 64) / count[name]))).otherwise(share)
+    place = (F.xxhash64("text").bitwiseAND((1 << 40) - 1) / F.lit(float(1 << 40)))
     w = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    return langs, (labelled.where(F.col("lang").isin(langs)).withColumn("_at", F.row_number().over(w))
+    return langs, (labelled.where(place < share).withColumn("_at", F.row_number().over(w))
                    .where(F.col("_at") <= each).select("text", "lang"))
 
 

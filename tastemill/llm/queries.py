@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tastemill.llm import ann, decontaminate, lang_id, pii, quality, sharding, url_filter
+from tastemill.llm import ann, decontaminate, lang_id, pii, quality, sentencepiece_scan, sharding, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language": lang_id.op3_language,
+    "op4_sentencepiece": sentencepiece_scan.op4_sentencepiece,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_urls": url_filter.op6_urls,
     "op7_nearest": ann.op7_nearest,
