@@ -371,21 +371,23 @@ def unpacked(rows) -> dict:
 MATRIX = "array<struct<a:int,b:int,c:int,d:int,w:double>>"
 
 
-def states_along(matrices: list[dict], first: dict, last: dict) -> list[tuple]:
-    """The best state at every boundary of a run of matrices, given the
-    weights of the states before (``first``) and after it (``last``)."""
-    forward = [first]
-    for m in matrices:
-        forward.append(compose({0: forward[-1]}, m).get(0, {}))
-    backward = [last]
+def walk(matrices: list[dict], first: list, last: list) -> list[tuple]:
+    """The states of one best path at every boundary of a run of matrices,
+    from one of the states ``first`` to one of ``last``."""
+    after = [{z: 0.0 for z in last}]
     for m in reversed(matrices):
-        backward.append({x: max(w + backward[-1][y] for y, w in row.items() if y in backward[-1])
-                         for x, row in m.items() if any(y in backward[-1] for y in row)})
-    backward.reverse()
-    out = []
-    for f, b in zip(forward, backward):
-        out.append({x: (f[x], b[x]) for x in f if x in b})
-    return out
+        after.append({x: max(w + after[-1][y] for y, w in row.items() if y in after[-1])
+                      for x, row in m.items() if any(y in after[-1] for y in row)})
+    after.reverse()
+    path = [max(sorted(x for x in first if x in after[0]), key=after[0].__getitem__)]
+    for m, rest in zip(matrices, after[1:]):
+        row = m[path[-1]]
+        path.append(max(sorted(y for y in row if y in rest), key=lambda y: row[y] + rest[y]))
+    return path
+
+
+def last_states(matrix: dict) -> list[tuple]:
+    return sorted({z for row in matrix.values() for z in row})
 
 
 def scan(chunks: DataFrame) -> DataFrame:
@@ -398,27 +400,25 @@ def scan(chunks: DataFrame) -> DataFrame:
             m = unpacked(rows) if m is None else compose(m, unpacked(rows))
         return pd.DataFrame({"uid": [key[0]], "block": [key[1]], "matrix": [[dict(zip("abcdw", r)) for r in packed(m)]]})
 
-    def over_blocks(key, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("block")
+    def steps(key, name: str, frame: pd.DataFrame, first: list | None, last: list | None) -> pd.DataFrame:
         ms = [unpacked(rows) for rows in frame["matrix"]]
-        ends = {z for row in ms[-1].values() for z in row}
-        at = states_along(ms, {x: 0.0 for x in ms[0]}, {z: 0.0 for z in ends})
-        # the weights of all states on best paths: before the block, and after it
-        rows = lambda d, k: [dict(zip("abw", (x[0], x[1], v[k]))) for x, v in d.items()]
-        return pd.DataFrame({"uid": key[0], "block": frame["block"].to_numpy(), "before": [rows(d, 0) for d in at[:-1]], "after": [rows(d, 1) for d in at[1:]]})
+        path = walk(ms, first or sorted(ms[0]), last or last_states(ms[-1]))
+        return pd.DataFrame({"uid": key[0], name: frame[name].to_numpy(), "entry_at": [x[0] for x in path[:-1]], "entry_piece": [x[1] for x in path[:-1]],
+                             "exit_at": [x[0] for x in path[1:]], "exit_piece": [x[1] for x in path[1:]]})
+
+    def over_blocks(key, frame: pd.DataFrame) -> pd.DataFrame:
+        return steps(key, "block", frame.sort_values("block"), None, None)
 
     def within(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values("chunk")
-        state = lambda rows: {(int(r["a"]), int(r["b"])): float(r["w"]) for r in rows}
-        at = states_along([unpacked(rows) for rows in left["matrix"]], state(right["before"].iloc[0]), state(right["after"].iloc[0]))
-        best = [max(sorted(d), key=lambda x, d=d: d[x][0] + d[x][1]) for d in at]
-        return pd.DataFrame({"uid": key[0], "chunk": left["chunk"].to_numpy(), "entry_at": [b[0] for b in best[:-1]], "entry_piece": [b[1] for b in best[:-1]],
-                             "exit_at": [b[0] for b in best[1:]], "exit_piece": [b[1] for b in best[1:]]})
+        end = right.iloc[0]
+        state = lambda side: [(int(end[side + "_at"]), int(end[side + "_piece"]))]
+        return steps(key, "chunk", left.sort_values("chunk"), state("entry"), state("exit"))
 
     products = blocks.groupBy("uid", "block").applyInPandas(product, f"uid bigint, block int, matrix {MATRIX}")
-    ends = products.groupBy("uid").applyInPandas(over_blocks, "uid bigint, block int, before array<struct<a:int,b:int,w:double>>, after array<struct<a:int,b:int,w:double>>")
+    states = "entry_at int, entry_piece int, exit_at int, exit_piece int"
+    ends = products.groupBy("uid").applyInPandas(over_blocks, f"uid bigint, block int, {states}")
     return (blocks.groupBy("uid", "block").cogroup(ends.groupBy("uid", "block"))
-            .applyInPandas(within, "uid bigint, chunk int, entry_at int, entry_piece int, exit_at int, exit_piece int"))
+            .applyInPandas(within, f"uid bigint, chunk int, {states}"))
 
 
 def encode(docs: DataFrame, model_path: str = MODEL_PATH, text_col: str = "text", out: str = "ids", chunk: int = CHUNK) -> DataFrame:
