@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tastemill.llm import ann, decontaminate, lang_id, pii, quality, sentencepiece_scan, sharding, url_filter
+from tastemill.llm import ann, decontaminate, lang_id, near_dedup, pii, quality, sentencepiece_scan, sharding, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_duplicates": near_dedup.op1_near_duplicates,
     "op3_language": lang_id.op3_language,
     "op4_sentencepiece": sentencepiece_scan.op4_sentencepiece,
     "op5_decontaminate": decontaminate.op5_decontaminate,
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_near_duplicates": near_dedup.SQL,
     "op5_decontaminate": decontaminate.SQL,
     "op7_nearest": ann.SQL,
 }
