@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tastemill.llm import ann, decontaminate, lang_id, near_dedup, pii, quality, sentencepiece_scan, sharding, url_filter
+from tastemill.llm import ann, decontaminate, lang_id, line_dedup, near_dedup, pii, quality, sentencepiece_scan, sharding, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": near_dedup.op1_near_duplicates,
+    "op2_lines": line_dedup.op2_lines,
     "op3_language": lang_id.op3_language,
     "op4_sentencepiece": sentencepiece_scan.op4_sentencepiece,
     "op5_decontaminate": decontaminate.op5_decontaminate,

@@ -74,9 +74,9 @@ def class_table(*ranges: tuple[int, int]) -> np.ndarray:
     return t
 
 
-# separators of the two word rules (all ASCII, so bytes decide)
+# separators of the two word rules, before lower-casing (all ASCII, so bytes decide)
 WHITESPACE = class_table((0x20, 0x20), (0x09, 0x0D))
-NOT_ALNUM = class_table((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
+NOT_ALNUM = class_table((0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
 
 class WorkerCache(dict):
     """A dict that travels empty when a task's closure holds it."""
