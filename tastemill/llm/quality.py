@@ -33,7 +33,7 @@ from tastemill.llm.textbuf import (WHITESPACE, flat, gram_buckets, hash_spans, s
                                    text_batches)
 
 SAMPLE_ROWS = 2000
-BITS = 13
+BITS = 11
 SIZES = (1, 3, 4)
 DIM = 16
 THRESHOLD = 0.7
@@ -85,8 +85,9 @@ def train(x: np.ndarray, y: np.ndarray, dim: int = DIM, epochs: int = 30, batch:
     rng = np.random.default_rng(seed)
     vec = rng.uniform(-1 / dim, 1 / dim, (x.shape[1], dim)).astype(np.float32)
     # frequent buckets carry large shares, so shares are put on one scale
-    scale = 1 / np.sqrt(np.sqrt((x * x).mean(axis=0)) + 1e-4)
-    scale = scale / np.sqrt(((x * scale) ** 2).sum(axis=1).mean())
+    square = np.einsum("ij,ij->j", x, x) / len(x)
+    scale = (1 / np.sqrt(np.sqrt(square) + 1e-4)).astype(np.float32)
+    scale /= np.sqrt((square * scale * scale).sum())
     out, bias = np.zeros((dim, 2), dtype=np.float32), np.zeros(2, dtype=np.float32)
     out[:, 1] = rng.uniform(-0.1, 0.1, dim)
     for epoch in range(epochs):
