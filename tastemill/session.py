@@ -53,6 +53,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     local = tempfile.mkdtemp(prefix="tastemill-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     return local
@@ -73,3 +75,25 @@ def materialize(df, name: str = "t"):
     path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def discard(*tables) -> None:
+    """Delete tables that ``materialize`` wrote and nothing reads any more
+    (all that was made from them is written itself)."""
+    for df in tables:
+        spark = df.sparkSession
+        base = ensure_checkpoint_dir(spark).rstrip("/") + "/tables/"
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if f"/tables/{folder.rsplit('/', 1)[-1]}" in folder and folder.split(":", 1)[-1].lstrip("/").startswith(base.split(":", 1)[-1].lstrip("/")):
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished steps now: it
+    does so when the driver collects its garbage, which long loops of small
+    jobs seldom cause (``spark.cleaner.periodicGC.interval`` is half an hour)."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
