@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tastemill.session import materialize
+from tastemill.session import discard, materialize
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -38,4 +38,5 @@ def components(edges: DataFrame) -> DataFrame:
         if now[0] == 0 or now == seen:
             return e.select(F.col("u").alias("node"), F.col("v").alias("label"))
         seen = now
-        e = materialize(_small_star(_large_star(e)), "edges")
+        old, e = e, materialize(_small_star(_large_star(e)), "edges")
+        discard(old)

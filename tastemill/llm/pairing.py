@@ -16,16 +16,18 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tastemill.session import materialize
+from tastemill.session import discard, materialize
 
-LEAF = 24
+LEAF = 256                         # a quick comparison is a few bit operations
 BROADCAST_IDS = 1_000_000          # ids sent to all executors at most (8 MB)
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_uid``, one number per row that every later read of
+    """``_uid`` and ``_row`` (all columns of ``docs`` as one struct, so no
+    name can clash): ``_uid`` is one number per row that every later read of
     the same table repeats: file (by a checksum of its name) and row within
     it. A frame that isn't a plain table read is written once first."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     for attempt in (docs, None):
         if attempt is None:
             attempt = materialize(docs, "numbered")
@@ -33,11 +35,11 @@ def identified(docs: DataFrame) -> DataFrame:
         if names and len(set(names)) == len(names):
             file = F.crc32(F.col("_metadata.file_name").cast("binary"))
             try:
-                return attempt.withColumn("_uid", F.shiftleft(file, 31).bitwiseOR(F.col("_metadata.row_index")))
+                return attempt.select(whole, F.shiftleft(file, 31).bitwiseOR(F.col("_metadata.row_index")).alias("_uid"))
             except AnalysisException:       # no table read below
                 continue
     # an empty frame has no file, so any number will do
-    return attempt.withColumn("_uid", F.monotonically_increasing_id())
+    return attempt.select(whole, F.monotonically_increasing_id().alias("_uid"))
 
 
 def few(keys: DataFrame, count: int) -> DataFrame:
@@ -50,11 +52,14 @@ def shared_nodes(rows: DataFrame) -> DataFrame:
     """The rows of nodes that hold two or more, written once. Most nodes of
     a first level hold one row; only their numbers are shuffled."""
     keys = materialize(rows.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("node"), "shared")
-    return materialize(rows.join(few(keys, keys.count()), "node", "left_semi"), "rows")
+    out = materialize(rows.join(few(keys, keys.count()), "node", "left_semi"), "rows")
+    discard(keys)
+    return out
 
 
 def step(rows: DataFrame, labels: DataFrame | None, alike: Callable[[str, str], Column], payload: list[str], pivots: int = 1):
-    """Compare a node table once: (candidate pairs ``a`` < ``b``, rows left).
+    """Compare a node table once: (candidate pairs ``a`` < ``b``, rows left,
+    both in written tables; the node table itself is used up).
 
     ``labels`` (``node``, ``label``) tells which rows are connected already.
     A node whose rows are all in one component is done. One with at most
@@ -84,4 +89,6 @@ def step(rows: DataFrame, labels: DataFrame | None, alike: Callable[[str, str],
         chosen = big.where(leaves).select("node", F.struct(*cols, "label").alias("y"))
         starred = big.select("node", F.struct(*cols, "label").alias("x")).join(chosen, "node")
     starred = starred.where((F.col("x.label") != F.col("y.label")) & alike("x", "y")).select(*pair)
-    return materialize(pairs.union(starred).distinct(), "pairs"), big.where(~leaves).select("node", *cols)
+    found, left = materialize(pairs.union(starred).distinct(), "pairs"), materialize(big.where(~leaves).select("node", *cols), "rows")
+    discard(held)
+    return found, left
