@@ -80,22 +80,44 @@ def pick_columns(df: DataFrame, wanted: list[str]) -> list[str]:
     return [c for c in wanted if c in have]
 
 
+def placed_in_order(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` in ``order``, written once, with ``_rank`` (0-based, over all rows).
+
+    Rows are range-partitioned and sorted by ``order``; ties, a third of
+    all rows even, are split by the scan position. The layout is written to
+    the checkpoint folder, so the row counts of the partitions and the rows
+    themselves come from one and the same dealing. A rank is the row's
+    place in its partition plus the sizes of all earlier partitions (one
+    row per partition, summed by a small window and broadcast)."""
+    from tastemill.session import materialize
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    by = [*order, "_scan"]
+    dealt = (df.withColumn("_scan", F.monotonically_increasing_id())
+             .repartitionByRange(n, *by).sortWithinPartitions(*by))
+    # the id holds the partition above bit 33 and the place in it below
+    placed = materialize(dealt.withColumn("_at", F.monotonically_increasing_id()).drop("_scan"), "placed")
+    placed = placed.withColumn("_pid", F.shiftright("_at", 33))
+    sizes = placed.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
+    before = sizes.select("_pid", (F.sum("_cnt").over(Window.orderBy("_pid")) - F.col("_cnt")).alias("_before"))
+    return (placed.join(F.broadcast(before), "_pid")
+            .withColumn("_rank", F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1))
+            .drop("_pid", "_before", "_at"))
+
+
 def dense_positions(df: DataFrame, order: list[str], out: str = "pos",
                     group: list[str] | None = None) -> DataFrame:
     """1-based position in ``order`` (within each ``group`` if given),
-    without a one-task window even when one group holds most rows.
-
-    Range partition on (group, order), number rows inside each partition
-    and group, then add the row counts of the same group in all earlier
-    partitions (a table with at most partitions × groups-per-partition
-    rows, summed by a small window)."""
+    without a one-task window even when one group holds most rows: the
+    rank over (group, order) less the first rank of the group."""
     group = group or []
-    n = df.sparkSession.sparkContext.defaultParallelism
-    ranged = df.repartitionByRange(n, *group, *order).withColumn("_pid", F.spark_partition_id())
-    local = ranged.withColumn("_rn", F.row_number().over(
-        Window.partitionBy("_pid", *group).orderBy(*order)))
-    counts = local.groupBy("_pid", *group).agg(F.max("_rn").alias("_cnt"))
-    offs = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(
-        Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return (local.join(offs.select("_pid", *group, "_off"), ["_pid", *group])
-            .withColumn(out, F.col("_off") + F.col("_rn")).drop("_pid", "_rn", "_off"))
+    ranked = placed_in_order(df, [*group, *order])
+    if not group:
+        return ranked.withColumn(out, F.col("_rank") + 1).drop("_rank")
+    starts = ranked.groupBy(*[F.col(g).alias(f"_g_{g}") for g in group]).agg(F.min("_rank").alias("_first"))
+    on = None
+    for g in group:
+        c = F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+        on = c if on is None else on & c
+    return (ranked.join(starts, on).withColumn(out, F.col("_rank") - F.col("_first") + 1)
+            .drop("_rank", "_first", *[f"_g_{g}" for g in group]))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tastemill.functions.core import safe_div
+from tastemill.functions.core import placed_in_order, safe_div
 
 
 # ---------------------------------------------------------------- hygiene
@@ -41,28 +41,13 @@ def load_audit(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def assign_item_id(df: DataFrame, id_col: str | None, order_cols: list[str],
-                   out: str = "item_id", partitions: int | None = None) -> DataFrame:
+                   out: str = "item_id") -> DataFrame:
     """Use ``id_col`` as the key when present, else a dense 0-based number
-    in ``order_cols`` order.
-
-    The dense number is built without a single-task window: range
-    partition by the order, number rows inside each partition, and add
-    the row count of all earlier partitions (a table with one row per
-    partition).
-    """
+    in ``order_cols`` order (no single-task window; other columns ride
+    along)."""
     if id_col and id_col in df.columns:
         return df.withColumn(out, F.col(id_col))
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
-    ranged = df.repartitionByRange(n, *order_cols).withColumn("_pid", F.spark_partition_id())
-    local = ranged.withColumn(
-        "_rn", F.row_number().over(Window.partitionBy("_pid").orderBy(*order_cols)))
-    counts = local.groupBy("_pid").agg(F.max("_rn").alias("_cnt"))
-    offsets = counts.withColumn(
-        "_off", F.coalesce(F.sum("_cnt").over(Window.orderBy("_pid").rowsBetween(
-            Window.unboundedPreceding, -1)), F.lit(0)))
-    return (local.join(F.broadcast(offsets.select("_pid", "_off")), "_pid")
-            .withColumn(out, (F.col("_off") + F.col("_rn") - 1).cast("bigint"))
-            .drop("_pid", "_rn", "_off"))
+    return placed_in_order(df, order_cols).withColumn(out, F.col("_rank").cast("bigint")).drop("_rank")
 
 
 def dedupe_ids(df: DataFrame, key: str, pos: str) -> DataFrame:

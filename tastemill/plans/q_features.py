@@ -66,11 +66,11 @@ def drop_any_null(spark, sf):
 
 
 @query("assign_item_id", """
-SELECT c_custkey, CAST(row_number() OVER (ORDER BY c_name, c_custkey) - 1 AS BIGINT) AS item_id
+SELECT c_custkey, c_mktsegment, CAST(row_number() OVER (ORDER BY c_name, c_custkey) - 1 AS BIGINT) AS item_id
 FROM customer""")
 def assign_item_id(spark, sf):
-    cust = S.read_table(spark, sf, "customer").select("c_custkey", "c_name")
-    return X.assign_item_id(cust, None, ["c_name", "c_custkey"]).select("c_custkey", "item_id")
+    cust = S.read_table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    return X.assign_item_id(cust, None, ["c_name", "c_custkey"]).select("c_custkey", "c_mktsegment", "item_id")
 
 
 @query("dedupe_ids", """
@@ -209,18 +209,21 @@ SELECT user_id, CAST(count(DISTINCT item_id) AS BIGINT) AS n_overlap
 FROM lg JOIN ig ON ig.g = lg.g GROUP BY user_id""")
 def genre_overlap_filter(spark, sf):
     """Items sharing at least one word-genre with a user's likes, counted
-    per user: explode both sides and equi-join on the genre word (the
-    vocabulary is 16 words, so the exploded join is bounded by
-    users × vocabulary × items-per-word)."""
+    per user. Items with the same genre set (signature) behave alike, and so
+    do users with the same set of liked words: signatures are counted once,
+    matched per distinct user set, and never joined item by item."""
     cat = _cat(spark, sf)
     fb = S.feedback(spark, sf)
     lg = (fb.filter("label = 1").join(cat.select("item_id", "genres"), "item_id")
           .select("user_id", F.explode("genres").alias("g")).distinct())
-    ig = cat.select("item_id", F.explode("genres").alias("g")).distinct()
-    # per (user, word) item sets overlap across words: count distinct per user
-    # via the per-word item lists would double count, so dedupe (user, item)
-    return (lg.join(ig, "g").select("user_id", "item_id").distinct()
-            .groupBy("user_id").agg(F.count(F.lit(1)).alias("n_overlap")))
+    sets = lg.groupBy("user_id").agg(F.sort_array(F.collect_set("g")).alias("liked"))   # at most a vocabulary long
+    items = cat.groupBy("item_id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("genres")))).alias("sig"))
+    sigs = items.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
+    by_word = sigs.select("sig", "n", F.explode("sig").alias("g"))
+    hits = (sets.select("liked").distinct().withColumn("g", F.explode("liked")).join(by_word, "g")
+            .groupBy("liked", "sig").agg(F.first("n").alias("n"))
+            .groupBy("liked").agg(F.sum("n").alias("n_overlap")))
+    return sets.join(hits, "liked").select("user_id", F.col("n_overlap").cast("bigint").alias("n_overlap"))
 
 
 @query("unrated_filter", I.with_(I.CATALOG, I.FEEDBACK) + """

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tastemill.operators import features as X
@@ -41,7 +42,7 @@ def test_poly2_order(spark):
 
 def test_assign_item_id_dense(spark):
     df = spark.createDataFrame([(f"n{i:03d}",) for i in range(57)], "name string")
-    ids = sorted((r["name"], r["item_id"]) for r in X.assign_item_id(df, None, ["name"], partitions=5).collect())
+    ids = sorted((r["name"], r["item_id"]) for r in X.assign_item_id(df, None, ["name"]).collect())
     assert [i for _, i in ids] == list(range(57))
 
 
@@ -50,3 +51,28 @@ def test_parameter_counts_and_leak_guard():
     assert parameter_count([6, 20, 10, 1]) == 361 and parameter_count([22, 100, 50, 1]) == 7401
     with pytest.raises(ValueError):
         check_no_leak(["a", "target"], "target")
+
+
+def test_numbering_with_payload_at_size(spark):
+    """400,000 rows, a payload column, one group with most rows: numbers are
+    dense and follow the order."""
+    from tastemill.functions.core import dense_positions
+    df = spark.range(400_000, numPartitions=16).select(
+        F.when(F.col("id") % 10 < 7, F.lit("hot")).otherwise(F.concat(F.lit("g"), F.col("id") % 50)).alias("g"),
+        F.md5(F.col("id").cast("string")).alias("k"), F.rand(3).alias("payload"), "id")
+    got = X.assign_item_id(df, None, ["k"])
+    assert got.agg(F.count_distinct("item_id"), F.min("item_id"), F.max("item_id")).first() == (400_000, 0, 399_999)
+    w = Window.partitionBy("g").orderBy("k")
+    pos = dense_positions(df, ["k"], "pos", ["g"]).withColumn("want", F.row_number().over(w))
+    assert pos.where("pos <> want").count() == 0 and pos.count() == 400_000
+    plain = dense_positions(df, ["k"]).withColumn("want", F.row_number().over(Window.orderBy("k")))
+    assert plain.where("pos <> want").count() == 0
+
+
+def test_numbering_of_ties_and_nulls(spark):
+    from tastemill.functions.core import dense_positions
+    df = spark.createDataFrame([(None, 1)] * 5 + [("a", 1)] * 3 + [("a", None)], "g string, o int")
+    got = dense_positions(df, ["o"], "pos", ["g"]).collect()
+    assert sorted(r["pos"] for r in got if r["g"] is None) == [1, 2, 3, 4, 5]
+    assert sorted(r["pos"] for r in got if r["g"] == "a") == [1, 2, 3, 4]
+    assert dense_positions(df.limit(0), ["o"], "pos", ["g"]).count() == 0
