@@ -84,23 +84,23 @@ def cluster_centroids(df: DataFrame, assign: DataFrame) -> DataFrame:
     return j.groupBy("cluster").agg(F.array(*[F.avg(F.col("features")[i]) for i in range(d)]).alias("centroid"))
 
 
-def nearest_centroid(df: DataFrame, centroids: DataFrame, max_k: int = 4096) -> DataFrame:
+def nearest_centroid(df: DataFrame, centroids: DataFrame, block: int = 4096) -> DataFrame:
     """Assign every row to the closest centroid (squared distance, ties to
-    the lowest cluster id). The centroid table has at most ``max_k`` rows
-    (checked) and is inlined into the projection, so this is a narrow map
-    over ``df`` with no join."""
+    the lowest cluster id). Centroids are packed into one array row per
+    ``block`` of them, broadcast to the rows (a block's size is bounded), and
+    the best of each block is kept: a narrow map over ``df`` per block."""
     n = centroids.count()
-    if n > max_k:
-        raise ValueError(f"{n} centroids exceed {max_k}")
-    cs = centroids.orderBy("cluster").collect()
-    cands = []
-    for row in cs:
-        c = F.array(*[F.lit(float(x)) for x in row["centroid"]])
-        d2 = F.aggregate(F.zip_with(F.col("features"), c, lambda a, b: (a - b) * (a - b)),
-                         F.lit(0.0), lambda acc, x: acc + x)
-        cands.append(F.struct(d2.alias("d2"), F.lit(int(row["cluster"])).alias("cluster")))
-    best = F.array_min(F.array(*cands))
-    return df.select("item_id", best["cluster"].alias("cluster"), best["d2"].alias("d2"))
+    packed = centroids.withColumn("_b", F.pmod(F.xxhash64("cluster"), F.lit(max(1, -(-n // block)))))
+    best = F.lit(None).cast("struct<d2:double,cluster:int>")
+    out = df.withColumn("_best", best)
+    for b in range(max(1, -(-n // block))):
+        one = packed.where(F.col("_b") == b).agg(F.collect_list(F.struct("cluster", "centroid")).alias("_cs"))
+        near = F.array_min(F.transform("_cs", lambda c: F.struct(
+            F.aggregate(F.zip_with(F.col("features"), c["centroid"], lambda x, y: (x - y) * (x - y)), F.lit(0.0),
+                        lambda acc, x: acc + x).alias("d2"), c["cluster"].cast("int").alias("cluster"))))
+        out = (out.crossJoin(F.broadcast(one)).withColumn("_best", F.least(F.coalesce("_best", near), F.coalesce(near, "_best")))
+               .drop("_cs"))
+    return out.select("item_id", F.col("_best.cluster").alias("cluster"), F.col("_best.d2").alias("d2"))
 
 
 # ----------------------------------------------------------------- scoring
@@ -177,25 +177,48 @@ def cluster_recommend(feedback: DataFrame, assigns: dict[str, DataFrame], weight
 
 
 # ------------------------------------------------------------ reduction / representatives
+def gram_matrix(df: DataFrame, col: str):
+    """Sum of x xᵀ over the rows as a d × d array: partial sums per partition
+    in Arrow batches, added up by position on the executors."""
+    import numpy as np
+    import pandas as pd
+
+    def partial(batches):
+        total = None
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack(pdf[col].to_numpy()).astype(np.float64)
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            yield pd.DataFrame({"i": np.arange(total.size), "g": total.ravel()})
+
+    sums = df.select(col).mapInPandas(partial, "i long, g double").groupBy("i").agg(F.sum("g").alias("g")).collect()
+    d = int(round(len(sums) ** 0.5))
+    out = np.zeros(d * d)
+    for r in sums:
+        out[r["i"]] = r["g"]
+    return out.reshape(d, d)
+
+
 def svd_reduce(df: DataFrame, k: int = 20, col: str = "features"):
-    """Truncated SVD without centring (RowMatrix.computeSVD: a distributed
-    Gram matrix, then a local eigen-decomposition of a d × d matrix).
+    """Truncated SVD without centring: a distributed Gram matrix, then a
+    local eigen-decomposition of a d × d matrix.
 
     Returns (projected DataFrame with ``reduced`` array<double>, singular
     values, explained ratio per component = s_j² / ‖X‖_F²). The k × d
     basis is bounded by the feature count and is inlined into the
     projection. With d <= k the input is returned unchanged."""
-    from pyspark.mllib.linalg import Vectors as MV
-    from pyspark.mllib.linalg.distributed import RowMatrix
+    import numpy as np
     d = df.select(F.size(col).alias("d")).first()["d"]
     if d <= k:
         return df.withColumn("reduced", F.col(col)), [], []
-    rows = df.select(col).rdd.map(lambda r: MV.dense(r[0]))
-    svd = RowMatrix(rows).computeSVD(k, computeU=False)
-    s = [float(x) for x in svd.s.toArray()]
-    V = svd.V.toArray()                      # d × k
-    total = df.select(F.aggregate(F.col(col), F.lit(0.0), lambda a, x: a + x * x).alias("q")) \
-        .agg(F.sum("q")).first()[0]
+    gram = gram_matrix(df, col)
+    values, vectors = np.linalg.eigh(gram)
+    order = np.argsort(values)[::-1][:k]
+    s = [float(x) for x in np.sqrt(np.maximum(values[order], 0.0))]
+    V = vectors[:, order]                    # d × k
+    V = V * np.where(V[np.abs(V).argmax(axis=0), np.arange(V.shape[1])] < 0, -1.0, 1.0)   # a fixed sign
+    total = float(np.trace(gram))
     comps = []
     for j in range(V.shape[1]):
         vj = F.array(*[F.lit(float(x)) for x in V[:, j]])
@@ -204,20 +227,62 @@ def svd_reduce(df: DataFrame, k: int = 20, col: str = "features"):
     return out, s, [x * x / total for x in s]
 
 
+def _distance2(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x)
+
+
+def kmeans_within(df: DataFrame, by: str, quota: DataFrame, seed: int = 42, rounds: int = 10) -> DataFrame:
+    """k-means inside every group at once, with k = the group's ``quota``:
+    (by, item_id, h, cluster). Lloyd's rounds as grouped averages over all
+    groups; the centroids (the sum of the quotas, a few rows) are broadcast.
+    First centroids: the group's first items in hash order."""
+    from tastemill.session import materialize
+    rows = materialize(df.join(F.broadcast(quota.select(by, "quota")), by).withColumn("h", hash_key(seed, "item_id")), "rep-rows")
+    d = rows.select(F.size("features").alias("d")).first()["d"]
+    # constant bound first (a partial top-k), then the group's own
+    most = quota.agg(F.max("quota")).first()[0]
+    first = rows.withColumn("c", F.row_number().over(Window.partitionBy(by).orderBy("h", "item_id"))).where(F.col("c") <= most)
+    cents = first.where(F.col("c") <= F.col("quota")).select(by, F.col("c").alias("cluster"), F.col("features").alias("centroid"))
+
+    def assign(cents):
+        packed = cents.groupBy(by).agg(F.collect_list(F.struct("cluster", "centroid")).alias("cs"))
+        best = F.array_min(F.transform("cs", lambda c: F.struct(_distance2(F.col("features"), c["centroid"]).alias("d2"), c["cluster"].alias("cluster"))))
+        return rows.join(F.broadcast(packed), by).withColumn("cluster", best["cluster"]).drop("cs")
+
+    for _ in range(rounds):
+        means = F.array(*[F.avg(F.col("features")[i]) for i in range(d)])
+        cents = materialize(assign(cents).groupBy(by, "cluster").agg(means.alias("centroid")), "centroids")
+    return assign(cents).select(by, "item_id", "h", "cluster")
+
+
 def representatives(df: DataFrame, k: int, seed: int = 42, by: str | None = None,
                     quota: DataFrame | None = None) -> DataFrame:
-    """One item per k-means cluster (first in the seeded hash order).
-
-    With ``by`` (a genre column) and ``quota(genre, quota)``: clusters come
-    from one global k-means; inside each genre one item per (genre,
-    cluster) is taken, then the genre keeps its ``quota`` first picks in
-    hash order (a genre smaller than its quota is taken whole)."""
-    a = kmeans_assign(df, k, seed, restarts=1)
-    j = df.join(a, "item_id").withColumn("h", hash_key(seed, "item_id"))
-    keys = ([by] if by else []) + ["cluster"]
-    pick = j.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "item_id"))).filter("_r = 1")
+    """Cold-start picks that cover the feature space.
+
+    Without ``by``: one item per cluster of a k-means with ``k`` clusters.
+    With ``by`` (a genre column) and ``quota(genre, quota)``: a genre no
+    bigger than its quota is taken whole, in any other one item per cluster
+    of a k-means inside the genre with k = quota; ``k`` is not used. Each
+    cluster gives its first item in the seeded hash order. Empty clusters
+    leave gaps, and the list is filled to the wanted number (``k``, or the
+    sum of the quotas) with other items in hash order, as cluster -1."""
+    keyed = df.withColumn("h", hash_key(seed, "item_id"))
     if not by:
-        return pick.select("item_id", "cluster")
-    pick = pick.withColumn("_g", F.row_number().over(Window.partitionBy(by).orderBy("h", "item_id")))
-    return (pick.join(quota, by).filter(F.col("_g") <= F.col("quota"))
-            .select(by, "item_id", "cluster"))
+        a = kmeans_assign(df, k, seed, restarts=1)
+        chosen = keyed.join(a, "item_id").groupBy("cluster").agg(F.min(F.struct("h", "item_id")).alias("m")).select("m.item_id", "cluster")
+        cols, want = ["item_id", "cluster"], k
+    else:
+        sizes = df.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+        quota = quota.withColumnRenamed(quota.columns[0], by).join(sizes, by)
+        whole = keyed.join(F.broadcast(quota.where(F.col("n") <= F.col("quota"))), by).select(by, "item_id", F.lit(0).alias("cluster"))
+        inner = kmeans_within(df, by, quota.where(F.col("n") > F.col("quota")), seed)
+        picked = inner.groupBy(by, "cluster").agg(F.min(F.struct("h", "item_id")).alias("m")).select(by, "m.item_id", "cluster")
+        chosen = whole.unionByName(picked)
+        cols, want = [by, "item_id", "cluster"], int(quota.agg(F.sum("quota")).first()[0])
+    from tastemill.session import materialize
+    chosen = materialize(chosen.select(*cols), "chosen")          # at most ``want`` rows
+    gap = want - chosen.count()
+    if gap <= 0:
+        return chosen
+    rest = keyed.join(F.broadcast(chosen.select("item_id")), "item_id", "left_anti").orderBy("h", "item_id").limit(gap)
+    return chosen.unionByName(rest.withColumn("cluster", F.lit(-1)).select(*cols))

@@ -5,9 +5,9 @@
   aggregates ``regr_slope`` / ``regr_intercept`` (one grouped aggregate).
 * ``MLPRegressor``: Spark ML has no MLP regressor, so this is a
   data-parallel full-batch trainer: the weights are broadcast, every
-  partition returns its gradient sums through ``mapInPandas`` (one row per
-  partition: bounded), the driver adds them and takes an Adam step. Rows
-  never leave the executors; the driver only holds the parameters.
+  partition makes one gradient sum through ``mapInPandas``, the sums are
+  added up in a tree on the executors, and the driver takes an Adam step.
+  Rows never leave the executors; the driver only holds the parameters.
 """
 
 from __future__ import annotations
@@ -70,6 +70,14 @@ def pred_vs_actual(pred: DataFrame, bins: int = 10, y: str = "target", p: str =
 
 
 # ------------------------------------------------------------------- MLP trainer
+TREE_FROM = 64      # partitions whose gradients the driver adds itself, at most
+
+
+def _add_gradients(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"g": [np.sum(np.stack(pdf["g"].to_numpy()), axis=0).tolist()],
+                         "loss": [float(pdf["loss"].sum())], "n": [int(pdf["n"].sum())]})
+
+
 class MLPRegressor:
     """ReLU MLP regressor trained by data-parallel full-batch Adam.
 
@@ -81,7 +89,7 @@ class MLPRegressor:
     steps. ``history`` keeps (step, loss, lr).
     """
 
-    def __init__(self, hidden: tuple[int, ...] = (100, 50), max_iter: int = 200, lr: float = 0.01,
+    def __init__(self, hidden: tuple[int, ...] = (100, 50), max_iter: int = 500, lr: float = 0.01,
                  alpha: float = 1e-4, seed: int = 42, tol: float = 1e-5, n_iter_no_change: int = 20,
                  lr_patience: int = 5, lr_factor: float = 0.2):
         self.hidden = tuple(hidden)
@@ -134,6 +142,7 @@ class MLPRegressor:
         n, d = int(stats["n"]), int(stats["d"])
         self.d = d
         data = df.select("features", ((F.col("label") - self.y_mean) / self.y_std).alias("y")).persist()
+        n_parts = data.rdd.getNumPartitions()
         theta = self._init(d)
         m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
         b1, b2, eps = 0.9, 0.999, 1e-8
@@ -169,7 +178,11 @@ class MLPRegressor:
                     g += np.concatenate(flat)
                 yield pd.DataFrame({"g": [g.tolist()], "loss": [loss], "n": [cnt]})
 
-            parts = data.mapInPandas(grads, "g array<double>, loss double, n long").collect()
+            made = data.mapInPandas(grads, "g array<double>, loss double, n long")
+            if n_parts > TREE_FROM:     # add up on the executors, in groups of partitions
+                made = (made.groupBy(F.pmod(F.spark_partition_id(), F.lit(int(n_parts ** 0.5))).alias("k"), F.lit(0).alias("z"))
+                        .applyInPandas(_add_gradients, "g array<double>, loss double, n long"))
+            parts = made.collect()
             bc.unpersist()
             g = np.sum([np.asarray(r["g"]) for r in parts], axis=0) / n + self.alpha * theta / n
             loss = sum(r["loss"] for r in parts) / n + 0.5 * self.alpha * float(theta @ theta) / n

@@ -22,6 +22,7 @@ from tastemill.sources import tables as S
 N = 15
 SEED = 42
 SAMPLE = 10000
+ALS_RANK, ALS_ITER = 100, 30      # fixed values of the reference setup
 DIM = 64
 
 
@@ -155,43 +156,43 @@ def cluster_blend_fixed(spark, sf):
     return K.cluster_recommend(fb, a, _BLEND_W, N)
 
 
+SVD_DIM = 20
+
+
+def _reduced(spark, sf):
+    """Vectors reduced to 20 dimensions, the input of all three methods."""
+    red, _, _ = K.svd_reduce(_vec(spark, sf), SVD_DIM)
+    return red.select("item_id", F.col("reduced").alias("features"))
+
+
 def _model_assigns(spark, sf):
-    v = _vec(spark, sf)
-    n = v.count()
-    k = K.cluster_count(n)
-    sample = K.training_sample(v, SAMPLE, SEED)
-    hk = K.hierarchical_assign(sample, k, SEED)
-    cent = K.cluster_centroids(sample, hk)
+    v = _reduced(spark, sf)
+    k = K.cluster_count(v.count())
     return {"kmeans": K.kmeans_assign(v, k, SEED, restarts=10),
-            "gmm": K.gmm_assign(v.select("item_id", F.slice("features", 1, 8).alias("features")), k, SEED, restarts=3),
-            "hierarchical": K.nearest_centroid(v, cent).select("item_id", "cluster")}
+            "gmm": K.gmm_assign(v, k, SEED, restarts=3),
+            "hierarchical": K.hierarchical_assign(v, k, SEED)}
 
 
 @query("kmeans_assign")
 def kmeans_assign(spark, sf):
-    v = _vec(spark, sf)
+    v = _reduced(spark, sf)
     a = K.kmeans_assign(v, K.cluster_count(v.count()), SEED)
     return a.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_items"))
 
 
 @query("gmm_assign")
 def gmm_assign(spark, sf):
-    """GMM on the first 8 embedding dimensions (full covariance in 64
-    dimensions is singular for small clusters)."""
-    v = _vec(spark, sf).select("item_id", F.slice("features", 1, 8).alias("features"))
+    v = _reduced(spark, sf)
     a = K.gmm_assign(v, K.cluster_count(v.count()), SEED)
     return a.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_items"))
 
 
 @query("hierarchical_assign")
 def hierarchical_assign(spark, sf):
-    """Bisecting k-means on the deterministic sample, then every row to its
-    nearest sample centroid."""
-    v = _vec(spark, sf)
-    k = K.cluster_count(v.count())
-    s = K.training_sample(v, SAMPLE, SEED)
-    cent = K.cluster_centroids(s, K.hierarchical_assign(s, k, SEED))
-    return K.nearest_centroid(v, cent).groupBy("cluster").agg(F.count(F.lit(1)).alias("n_items"))
+    """Bisecting k-means fitted on all rows."""
+    v = _reduced(spark, sf)
+    a = K.hierarchical_assign(v, K.cluster_count(v.count()), SEED)
+    return a.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_items"))
 
 
 @query("cluster_blend_recommend")
@@ -248,7 +249,7 @@ def override_user_row(spark, sf):
 
 
 def _als(spark, sf):
-    return C.als_train(S.interactions(spark, sf), rank=16, max_iter=10, seed=SEED)
+    return C.als_train(S.interactions(spark, sf), rank=ALS_RANK, max_iter=ALS_ITER, seed=SEED)
 
 
 @query("als_train")
@@ -284,7 +285,7 @@ def mf_recommend(spark, sf):
     fb = S.feedback(spark, sf)
     cat = S.catalog(spark, sf)
     ratings = C.override_user_rows(S.interactions(spark, sf), fb)
-    m = C.als_train(ratings, rank=16, max_iter=10, seed=SEED)
+    m = C.als_train(ratings, rank=ALS_RANK, max_iter=ALS_ITER, seed=SEED)
     fd = P.fully_disliked_genres(fb, cat)
     rated = ratings.select("user_id", "item_id")
     cands = C.als_topn(m, fb.select("user_id"), rated, 3 * N, exclude_genres=fd, catalog=cat)
@@ -356,13 +357,12 @@ def _rep_feats(spark, sf):
 
 @query("cluster_representatives")
 def cluster_representatives(spark, sf):
-    """Cold-start picks: genre quotas (proportional), one item per
-    (genre, cluster) of a global k-means on four features."""
+    """Cold-start picks: proportional genre quotas, one item per cluster of
+    a k-means inside each genre, small genres whole, filled to 25."""
     from tastemill.operators import baselines as B
     cat = S.catalog(spark, sf)
     q = B.proportional_quota(cat, n=25).select("genre", "quota")
-    k = int(q.agg(F.max("quota")).first()[0])
-    return K.representatives(_rep_feats(spark, sf), k, SEED, by="genre", quota=q)
+    return K.representatives(_rep_feats(spark, sf), 25, SEED, by="genre", quota=q)
 
 
 @query("global_representatives")
