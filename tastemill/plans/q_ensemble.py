@@ -129,7 +129,8 @@ def update_weights(spark, sf):
 
 
 @query("weight_replay", f"""WITH {_LOG_SQL}, {I.FEEDBACK},
-grid AS (SELECT DISTINCT user_id, model, unnest(range({EARLY + 1}, 2002)) AS round FROM rec_log),
+grid AS (SELECT DISTINCT l.user_id, l.model, r.round FROM rec_log l,
+  (SELECT DISTINCT round_id AS round FROM feedback WHERE round_id > {EARLY}) r),
 j AS (SELECT g.user_id, g.model, g.round, count(f.label) AS total, sum(CASE WHEN f.label = 1 THEN 1 ELSE 0 END) AS success
       FROM grid g JOIN rec_log r ON r.user_id = g.user_id AND r.model = g.model
       LEFT JOIN feedback f ON f.user_id = r.user_id AND f.item_id = r.item_id AND f.round_id = g.round
@@ -140,11 +141,12 @@ c AS (SELECT *, 0.5 * exp(sum(ln(rate)) OVER (PARTITION BY user_id, model ORDER
 SELECT user_id, model, CAST(round AS INTEGER) AS round,
        round(raw / sum(raw) OVER (PARTITION BY user_id, round), 6) AS weight FROM c""")
 def weight_replay(spark, sf):
-    """Weights after each later round (1998..2001): per round the success
+    """Weights after each later round of the feedback: per round the success
     rate of the early lists against that round's feedback."""
     log, fb = _log(spark, sf)
-    grid = (log.select("user_id", "model").distinct()
-            .withColumn("round", F.explode(F.sequence(F.lit(EARLY + 1), F.lit(2001)))))
+    rounds = fb.where(F.col("round_id") > EARLY).agg(F.sort_array(F.collect_set("round_id")).alias("rounds"))   # one row: the years
+    grid = (log.select("user_id", "model").distinct().crossJoin(F.broadcast(rounds))
+            .select("user_id", "model", F.explode("rounds").alias("round")))
     j = (grid.join(log.select("user_id", "model", "item_id"), ["user_id", "model"])
          .join(fb.select("user_id", "item_id", "label", F.col("round_id").alias("round")),
                ["user_id", "item_id", "round"], "left"))

@@ -127,13 +127,25 @@ def pred_vs_actual(spark, sf):
 _LAYERS = {"full": (100, 50), "pruned": (50, 25), "pruned_small": (20, 10)}
 
 
-@query("parameter_count", I.with_(I.REGRESSION) + """
-, d AS (SELECT count(*) AS k FROM (SELECT unnest(['n_lines', 'sum_qty', 'avg_discount', 'avg_tax', 'acctbal', 'priority']) AS c) t),
+_VARIES = " + ".join(f"CASE WHEN count(DISTINCT {c}) > 1 THEN 1 ELSE 0 END" for c in FEATURES)
+
+
+@query("parameter_count", _SPLIT + f"""
+, d AS (SELECT segment, {_VARIES} AS k FROM sp WHERE split = 'train' GROUP BY segment),
 m AS (SELECT 'full' AS model, 100 AS h1, 50 AS h2 UNION ALL SELECT 'pruned', 50, 25 UNION ALL SELECT 'pruned_small', 20, 10)
-SELECT model, CAST(d.k * h1 + h1 + h1 * h2 + h2 + h2 + 1 AS BIGINT) AS n_params FROM m, d""")
+SELECT segment || '/' || model AS model, CAST(d.k * h1 + h1 + h1 * h2 + h2 + h2 + 1 AS BIGINT) AS n_params FROM m, d""")
 def parameter_count(spark, sf):
-    d = len(FEATURES)
-    models = spark.createDataFrame([(k, [d, *v, 1]) for k, v in _LAYERS.items()], "model string, layers array<int>")
+    """Parameters of each model per segment: the input layer is as wide as
+    the number of features that vary in the segment's training rows."""
+    train = _split(spark, sf).filter(F.col("split") == "train")
+    used = [F.when(F.min(c) != F.max(c), 1).otherwise(0) for c in FEATURES]
+    width = used[0]
+    for u in used[1:]:
+        width = width + u
+    per = train.groupBy("segment").agg(width.alias("k"))
+    models = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.array(*[F.lit(x) for x in v]).alias("hidden")) for n, v in _LAYERS.items()]))
+    models = per.withColumn("m", models).select(F.concat_ws("/", "segment", "m.name").alias("model"),
+                                                F.concat(F.array(F.col("k").cast("int")), F.col("m.hidden"), F.array(F.lit(1))).alias("layers"))
     return G.parameter_count_table(models)
 
 
@@ -143,7 +155,7 @@ def _mlp_data(spark, sf):
     return z.select("order_id", "split", F.array(*FEATURES).alias("features"), F.col(TARGET).alias("label"))
 
 
-def _mlp(spark, sf, name, max_iter=150):
+def _mlp(spark, sf, name, max_iter=500):
     data = _mlp_data(spark, sf)
     m = G.MLPRegressor(hidden=_LAYERS[name], max_iter=max_iter, seed=SEED).fit(data.filter(F.col("split") == "train"))
     pred = m.transform(data.filter(F.col("split") == "test"))

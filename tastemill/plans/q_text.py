@@ -69,12 +69,9 @@ def context_block(spark, sf):
     return T.context_block(qs, T.retrieve_topn(qs, docs, TOP), docs)
 
 
-# fixed queries of the interview: product information and the interview guide
-TWO_WAY = [(0, "Churro Chiller"), (1, "Interview Guide")]
-
-
-@query("two_way_context", TFIDF_CTE.replace("tok AS (", "tok AS (", 1) + "" if False else f"""WITH {TFIDF_CTE},
-qs AS (SELECT * FROM (VALUES {", ".join(f"({i}, {_lit(t)})" for i, t in TWO_WAY)}) v(query_id, text)),
+@query("two_way_context", f"""WITH {TFIDF_CTE},
+qs AS (SELECT item_id * 2 AS query_id, split_part(text, '.', 1) AS text FROM benchmark
+       UNION ALL SELECT item_id * 2 + 1, text FROM benchmark),
 qtok AS (SELECT query_id, unnest(regexp_extract_all(lower(text), '{_TOK}')) AS term FROM qs),
 qtf AS (SELECT query_id, term, count(*) AS tf FROM qtok GROUP BY query_id, term),
 qw AS (SELECT query_id, term, tf * idf / sqrt(sum((tf * idf) * (tf * idf)) OVER (PARTITION BY query_id)) AS w
@@ -85,7 +82,11 @@ SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM dots) z
 WHERE rank <= {TOP}""")
 def two_way_context(spark, sf):
-    qs = spark.createDataFrame(TWO_WAY, "query_id int, text string")
+    """Two contexts per benchmark text: of its first sentence (what it is
+    about) and of all of it."""
+    q = S.read_table(spark, sf, "benchmark")
+    way = lambda i, text: q.select((F.col("item_id") * 2 + i).alias("query_id"), text.alias("text"))
+    qs = way(0, F.substring_index("text", ".", 1)).unionByName(way(1, F.col("text")))
     return T.retrieve_topn(qs, S.corpus(spark, sf), TOP)
 
 

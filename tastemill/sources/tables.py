@@ -38,32 +38,38 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     has fewer partitions than the cluster's parallelism it is spread
     round-robin (a no-op for large inputs, which already split)."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    try:
-        par = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < par:
-            df = df.repartition(par)
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): keep the scan
-        pass
-    return df
+    par = spark.sparkContext.defaultParallelism
+    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
+
+
+def csv_files(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The files below ``paths``, in the order of the paths, then by name."""
+    out = []
+    for p in paths:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(p).select("path").orderBy("path")
+        out += [r["path"] for r in found.collect()]
+    return out
 
 
 def scan_catalog_csv(spark: SparkSession, paths: list[str], schema: T.StructType,
                      min_rows: int = 0, required: str | None = None) -> DataFrame:
-    """CSV catalogue scan with an explicit schema (never inferSchema).
-
-    All candidate paths are read in one scan; files whose header lacks
-    ``required`` or that hold ``min_rows`` rows or fewer are dropped by a
-    per-file count, so the check is one aggregate and not a driver loop.
-    """
-    df = (spark.read.schema(schema).option("header", True)
-          .option("recursiveFileLookup", True).csv(paths)
-          .withColumn("_file", F.input_file_name()))
-    if required is not None:
-        df = df.filter(F.col(required).isNotNull())
-    if min_rows > 0:
-        ok = df.groupBy("_file").count().filter(F.col("count") > min_rows).select("_file")
-        df = df.join(ok, "_file", "left_semi")
-    return df.drop("_file")
+    """The first catalogue file that fits: its header holds ``required`` and
+    it has more than ``min_rows`` rows. ``paths`` is a short list of
+    candidate files or folders, tried in order.
+
+    Columns are taken by name from the file's own header and cast to
+    ``schema`` (missing ones are null); values that don't cast are null."""
+    for path in csv_files(spark, paths):
+        df = spark.read.option("header", True).csv(path)       # reads the header only
+        names = {c.strip().lower(): c for c in df.columns}
+        if required is not None and required.lower() not in names:
+            continue
+        cols = [F.expr(f"try_cast(`{names[f.name.lower()]}` AS {f.dataType.simpleString()})").alias(f.name) if f.name.lower() in names
+                else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
+        out = df.select(*cols)
+        if out.count() > min_rows:
+            return out
+    raise ValueError(f"no file below {paths} has a column {required!r} and more than {min_rows} rows")
 
 
 _DERIVED: dict = {}

@@ -1,8 +1,9 @@
 """Structured Streaming forms of the energy ledger and the feedback loop.
 
 Streams are read with the file source (schema taken from the batch
-table, never inferred per file), aggregated in ``update`` mode with a
-watermark so old state is dropped, and written with ``foreachBatch`` to
+table, never inferred per file), aggregated in ``update`` mode (the daily
+timing drops old state by a watermark; the other two keep a row per key),
+and written with ``foreachBatch`` to
 an append-only upsert log under the checkpoint folder. Reading the log
 keeps the latest version of each key (highest batch id), which is the
 final table. ``Trigger.AvailableNow`` processes what is there and stops,
@@ -22,11 +23,15 @@ from tastemill.sources.tables import COMPONENT_OF_EVENT, _map_expr
 
 
 def _table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """File stream over the table's folder, picking the table's files by
-    name; the schema comes from the batch table."""
-    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
-            .option("maxFilesPerTrigger", 1).parquet(sf_dir.rstrip("/")))
+    """File stream over the table: over its own folder, or, if the table is
+    one file, over that file beside the others. The schema comes from the
+    batch table."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    batch = spark.read.parquet(path)
+    stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1)
+    if all(f.rsplit("/", 1)[-1] == f"{name}.parquet" for f in batch.inputFiles()):
+        return stream.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir.rstrip("/"))
+    return stream.parquet(path)
 
 
 def _events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

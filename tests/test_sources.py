@@ -1,6 +1,8 @@
 import os
 import tempfile
 
+import pytest
+
 from pyspark.sql import types as T
 
 from tastemill.sources.tables import scan_catalog_csv, write_recs
@@ -17,6 +19,16 @@ def test_csv_scan_checks_files(spark):
                            T.StructField("vote_average", T.DoubleType())])
     df = scan_catalog_csv(spark, [d], schema, min_rows=100, required="title")
     assert df.count() == 150
+    # the header decides, not the position
+    with open(f"{d}/0.csv", "w") as f:
+        f.write("a,b\n" + "".join(f"{i},x{i}\n" for i in range(150)))
+    assert scan_catalog_csv(spark, [f"{d}/0.csv", d], schema, min_rows=100, required="title").where("title = 't7'").count() == 1
+    with open(f"{d}/1.csv", "w") as f:
+        f.write("vote_average,extra,title\n" + "".join(f"{i % 10},x,t{i}\n" for i in range(120)))
+    by_name = scan_catalog_csv(spark, [f"{d}/1.csv"], schema, min_rows=100, required="title")
+    assert by_name.columns == ["id", "title", "vote_average"] and by_name.where("id IS NULL AND vote_average = 3 AND title = 't3'").count() == 1
+    with pytest.raises(ValueError):
+        scan_catalog_csv(spark, [f"{d}/0.csv"], schema, min_rows=100, required="title")
 
 
 def test_recs_sink_partitioned(spark):
