@@ -59,12 +59,16 @@ def ranked_items(items: DataFrame, seed: int, group: str | None = None) -> DataF
     return dense_positions(base, ["h", "item_id"], "pos", cols)
 
 
-def prefix_pick(wants: DataFrame, ranked: DataFrame, group: str | None) -> DataFrame:
+def prefix_pick(wants: DataFrame, ranked: DataFrame, group: str | None, salts: int = 8) -> DataFrame:
     """wants(user_id, group?, k) ⋈ ranked(group?, pos, item_id) on pos <= k,
-    written as an equi-join on (group, pos) after exploding 1..k."""
-    keys = ([group] if group else []) + ["pos"]
-    w = wants.withColumn("pos", F.explode(F.sequence(F.lit(1), F.col("k").cast("int"))))
-    return w.join(ranked, keys).drop("k")
+    written as an equi-join on (group, pos) after exploding 1..k. Every user
+    asks for the first positions, so the keys are salted by the asking row
+    and the ranked list is copied ``salts`` times."""
+    keys = ([group] if group else []) + ["pos", "_salt"]
+    w = (wants.withColumn("_salt", F.pmod(F.xxhash64(*wants.columns), F.lit(salts)).cast("int"))
+         .withColumn("pos", F.explode(F.sequence(F.lit(1), F.col("k").cast("int")))))
+    r = ranked.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    return w.join(r, keys).drop("k", "_salt")
 
 
 def rated_counts(feedback: DataFrame, catalog: DataFrame | None = None,

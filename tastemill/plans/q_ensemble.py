@@ -158,6 +158,65 @@ def weight_replay(spark, sf):
     return w.select("user_id", "model", F.col("round").cast("int"), r6("weight").alias("weight"))
 
 
+# the five models of the full ensemble, in voting order, each with a fifth of the vote
+FULL = ["content", "clustering", "pure_cf", "matrix_factorization", "deep"]
+
+
+def _five_lists(spark, sf, fb):
+    """The five models' lists for the users of ``fb``, written once:
+    (user_id, item_id, rank, model, model_idx)."""
+    from tastemill.operators import cf as C
+    from tastemill.operators import clusters as K
+    from tastemill.operators import content as CT
+    from tastemill.operators import preference as PR
+    from tastemill.plans import q_content as QC
+    from tastemill.plans import q_models as QM
+    from tastemill.plans import q_regression as QR
+    from tastemill.session import materialize
+    cat, inter = S.catalog(spark, sf), S.interactions(spark, sf)
+    feats = item_features(cat, QC.COLS)
+    assigns = {m: d.select("item_id", F.col("cluster").cast("string").alias("cluster")) for m, d in QM._model_assigns(spark, sf).items()}
+    ratings = C.override_user_rows(inter, fb)
+    disliked = P.fully_disliked_genres(fb, cat)
+    wide = C.als_topn(C.als_train(ratings, rank=QM.ALS_RANK, max_iter=QM.ALS_ITER, seed=QM.SEED), fb.select("user_id"),
+                      ratings.select("user_id", "item_id"), 3 * N, exclude_genres=disliked, catalog=cat)
+    pref = item_features(cat, QR.PREF_COLS)
+    train = PR.augment_training(PR.training_set(fb, pref, QR.PREF_COLS), QR.PREF_COLS, QR.SEED)
+    _, kappa, gamma, b = PR.fit_preference(train, QR.PREF_COLS)
+    lists = {
+        "content": CT.content_recommend(fb, feats, QC.COLS, P.feature_importance(fb, feats, QC.COLS), n=N, neighbours=QC.NEIGHBOURS),
+        "clustering": K.cluster_recommend(fb.join(assigns["kmeans"].select("item_id"), "item_id", "left_semi"), assigns,
+                                          {"kmeans": 0.4, "gmm": 0.3, "hierarchical": 0.3}, N),
+        "pure_cf": C.als_topn(QM._als(spark, sf), inter.select("user_id"), inter, N),
+        "matrix_factorization": E.genre_round_robin(wide, cat, P.liked_genres(fb, cat), disliked, N),
+        "deep": PR.preference_recommend(fb, pref, QR.PREF_COLS, kappa, gamma, b, n=N),
+    }
+    out = None
+    for i, m in enumerate(FULL):
+        one = lists[m].select("user_id", "item_id", F.col("rank").cast("int").alias("rank"), F.lit(m).alias("model"), F.lit(i).alias("model_idx"))
+        out = one if out is None else out.unionByName(one)
+    return materialize(out, "five-lists")
+
+
+@query("ensemble_full")
+def ensemble_full(spark, sf):
+    """The weighted vote over all five models' lists, 0.2 each."""
+    return E.ensemble_vote(_five_lists(spark, sf, S.feedback(spark, sf)), _weights(spark, FULL), N)
+
+
+@query("ensemble_round2")
+def ensemble_round2(spark, sf):
+    """One turn of the feedback loop: lists from the early rounds, success
+    rates from what the users said later, updated weights per user, and a
+    second vote over the items not rated since."""
+    fb = S.feedback(spark, sf)
+    lists = _five_lists(spark, sf, fb.filter(F.col("round_id") <= EARLY))
+    later = fb.filter(F.col("round_id") > EARLY)
+    weights = E.update_weights(E.model_success_rate(lists, later), _weights(spark, FULL))
+    left = lists.join(later.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
+    return E.ensemble_vote(left, weights, N)
+
+
 _POP45 = R.POP_SQL.replace(f"WHERE rank <= {N}", f"WHERE rank <= {3 * N}")
 
 
