@@ -171,12 +171,6 @@ def rule_results(texts: DataFrame) -> DataFrame:
     return j.select("doc_id", "author", "n_stanzas", *[F.col(f"r{r}") for r in checked])
 
 
-def rule_table(spark) -> DataFrame:
-    """The rule list as a table (id, title, description, checked)."""
-    return spark.createDataFrame([(i, t, d, i not in NOT_CHECKED) for i, t, d in RULES],
-                                 "rule_id int, title string, description string, checked boolean")
-
-
 def broken_rules(results: DataFrame) -> DataFrame:
     """(doc_id, author, broken array<int>, n_broken): failed checked rules."""
     checked = [r for r, _, _ in RULES if r not in NOT_CHECKED]
