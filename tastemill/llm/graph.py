@@ -27,6 +27,19 @@ def _small_star(e: DataFrame) -> DataFrame:
     return linked.union(low.select("k", "m")).distinct()
 
 
+def contract(edges: DataFrame) -> DataFrame:
+    """One round over ``edges`` (a, b): other edges with the same components,
+    fewer steps deep, in a written table."""
+    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    return materialize(_small_star(_large_star(e)).toDF("a", "b"), "edges")
+
+
+def nearest_labels(edges: DataFrame) -> DataFrame:
+    """``node``, ``label``: a smaller node that it is connected with. Equal
+    labels mean one component; different ones needn't mean two."""
+    return edges.groupBy(F.greatest("a", "b").alias("node")).agg(F.min(F.least("a", "b")).alias("label"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``edges`` (a, b) -> ``node``, ``label``: the smallest node of its
     component, for every node but the smallest itself. No edge, no rows."""

@@ -8,11 +8,11 @@ signature, chosen by the node (1/similarity children per document on
 average, so a similar pair survives a level in one child on average). Small
 nodes are compared exhaustively. ``TREES`` independent trees are walked
 together to reach the target recall: a pair right at the threshold is missed
-with a chance of about 0.13**10 after one level and 0.36**10 after four.
+with a chance of about 0.3**10 after three levels and 0.46**10 after six.
 
 What keeps big groups linear: in a node too big to compare, one pivot is
-compared with everyone and leaves the node. Pairs that are already connected
-need no comparison, so a node whose members are, but for a few, in one
+compared with everyone and leaves the node, and the others go down some more
+levels. Pairs that are already connected need no comparison, so a node whose members are, but for a few, in one
 component is finished by comparing those few. The recursion goes on until no
 node is left; there's no cap on depth, partners or candidates.
 
@@ -37,13 +37,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from tastemill.llm.graph import components
+from tastemill.llm.graph import components, contract, nearest_labels
+from tastemill.llm.pairing import few, identified, shared_nodes, step
 from tastemill.llm.textbuf import (MASK, WHITESPACE, constants, flat, hash_spans, mix, shingles, spans, table,
                                    text_batches)
-from tastemill.session import materialize
+from tastemill.session import discard, materialize, sweep
 
-POSITIONS, TREES, LEAF = 64, 10, 24
-BROADCAST_IDS = 1_000_000          # ids sent to all executors at most (8 MB)
+POSITIONS, TREES = 64, 10
+LEVELS = 3                         # levels that rows go down before nodes are looked at
+GROUP_SHINGLES = 4_000_000         # in the sets of a group that confirms pairs, about
 SIGNATURE = "struct<n:bigint,ha:bigint,hb:bigint,s1:bigint,s2:bigint,tokens:array<bigint>>"
 
 
@@ -109,17 +111,11 @@ def _sets(k: int):
     @arrow_udf("array<bigint>")
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for col in texts:
-            yield pa.array([signed(u) for u in shingle_sets(col, k)], type=pa.list_(pa.int64()))
+            yield pa.array([np.sort(signed(u)) for u in shingle_sets(col, k)], type=pa.list_(pa.int64()))
 
     return run.asNondeterministic()
 
 
-def few(keys: DataFrame, count: int) -> DataFrame:
-    """Broadcast a table of ids only while it is small; beyond that the join
-    shuffles (and Spark may push a Bloom filter down by itself)."""
-    return F.broadcast(keys) if count <= BROADCAST_IDS else keys
-
-
 def alike(a: str, b: str, percent: int) -> Column:
     """Could the sketched rows ``a`` and ``b`` be similar enough?"""
     p = percent / 100 + (1 - percent / 100) / 4
@@ -142,99 +138,118 @@ def roots(percent: int) -> list[tuple[int, int]]:
     return [(t, t * step) for t in range(TREES)] + [(t, t * step + step // 2) for t in range(extra)]
 
 
+def descend(nodes: Column, percent: int, levels: int) -> Column:
+    """Nodes some levels below ``nodes`` for a row with ``tokens``: a node
+    sends a document on by the token at a position that the node chooses,
+    and a share of the nodes at a second one too. A path depends on the
+    document's own tokens alone, so several levels need no shuffle between."""
+    def children(node):
+        at = lambda seed: F.pmod(F.xxhash64(node, F.lit(seed)), F.lit(POSITIONS)).cast("int")
+        second = F.pmod(F.xxhash64(node, F.lit(3)), F.lit(10_000)) < round(10_000 * (100 / percent - 1))
+        child = lambda p: F.xxhash64(node, p, F.get("tokens", p))
+        return F.when(second & (at(1) != at(2)), F.array(child(at(1)), child(at(2)))).otherwise(F.array(child(at(1))))
+
+    for _ in range(levels):
+        nodes = F.flatten(F.transform(nodes, children))
+    return nodes
+
+
 def branch(rows: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """Children of big nodes' rows: by the token at a position that the node
-    chooses, and at a second one for a share of the nodes."""
-    node = F.col("node")
-    at = lambda seed: F.pmod(F.xxhash64(node, F.lit(seed)), F.lit(POSITIONS)).cast("int")
-    second = F.pmod(F.xxhash64(node, F.lit(3)), F.lit(10_000)) < round(10_000 * (100 / percent - 1))
-    child = lambda p: F.xxhash64(node, p, F.get("tokens", p))
-    both = F.when(second & (at(1) != at(2)), F.array(child(at(1)), child(at(2)))).otherwise(F.array(child(at(1))))
-    return rows.join(tokens, "rep").select(F.explode(both).alias("node"), "rep", "n", "s1", "s2")
+    """Rows of big nodes ``LEVELS`` levels further down."""
+    return rows.join(tokens, "rep").select(F.explode(descend(F.array("node"), percent, LEVELS)).alias("node"), "rep", "n", "s1", "s2")
 
 
 class Links:
-    """Confirms candidate pairs on full sets; each set is made once."""
+    """Confirms candidate pairs on full sets. A set is made once, a pair is
+    confirmed once, and a set travels once to each group of pairs that share
+    rows instead of once per pair."""
 
     def __init__(self, numbered: DataFrame, k: int, percent: int):
-        self.docs, self.k, self.percent, self.sets = numbered, k, percent, None
+        self.docs, self.k, self.percent, self.sets, self.tested = numbered, k, percent, None, None
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
-        keys = pairs.select(F.col("a").alias("_uid")).union(pairs.select("b")).distinct()
+        if self.tested is not None:
+            new = materialize(pairs.join(few(self.tested, self.tested.count()), ["a", "b"], "left_anti"), "pairs")
+            discard(pairs)
+            pairs = new
+        self.tested = pairs.select("a", "b") if self.tested is None else self.tested.unionByName(pairs.select("a", "b"))
+        members = materialize(pairs.select("g", F.col("a").alias("_uid")).union(pairs.select("g", "b")).distinct(), "members")
+        keys = members.select("_uid").distinct()
         if self.sets is not None:
-            keys = keys.join(self.sets, "_uid", "left_anti")
+            keys = keys.join(self.sets.select("_uid"), "_uid", "left_anti")
         keys = materialize(keys, "keys")
         n = keys.count()
-        if n:
+        if n or self.sets is None:
             made = self.docs.select("_uid", "text").join(few(keys, n), "_uid", "left_semi").select("_uid", _sets(self.k)(F.col("text")).alias("set"))
             made = materialize(made, "sets")
             self.sets = made if self.sets is None else self.sets.unionByName(made)
-        one = self.sets.select(F.col("_uid").alias("a"), F.col("set").alias("x"))
-        two = self.sets.select(F.col("_uid").alias("b"), F.col("set").alias("y"))
-        shared = F.size(F.array_intersect("x", "y")).cast("bigint")
-        return (pairs.join(one, "a").join(two, "b").withColumn("shared", shared)
-                .where(F.col("shared") * 100 >= (F.size("x") + F.size("y") - F.col("shared")) * self.percent).select("a", "b"))
-
-
-def step(rows: DataFrame, labels: DataFrame | None, percent: int):
-    """One level: candidate pairs of all nodes, and the rows of the nodes to
-    branch (without their pivots)."""
-    if labels is None:
-        rows = rows.withColumn("label", F.col("rep"))
-        nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("total"), F.max("rep").alias("top"), F.min(F.struct(F.xxhash64("node", "rep").alias("h"), "rep", "n", "s1", "s2")).alias("pivot"))
-        nodes = nodes.withColumn("rest", F.col("total") - 1)
-    else:
-        rows = rows.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        per = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("node", "rep").alias("h"), "rep", "n", "s1", "s2", "label")).alias("p"))
-        nodes = per.groupBy("node").agg(F.sum("c").alias("total"), F.max(F.struct("c", "label")).alias("most"), F.min("p").alias("pivot"))
-        nodes = nodes.select("node", "total", F.col("most.label").alias("top"), (F.col("total") - F.col("most.c")).alias("rest"), "pivot")
-    nodes = nodes.where(F.col("rest") > 0)
-    held = materialize(rows.join(nodes, "node"), "nodes")
-    small, big = held.where(F.col("rest") <= LEAF), held.where(F.col("rest") > LEAF)
-    few_, all_ = small.where(F.col("label") != F.col("top")).alias("x"), small.alias("y")
-    pairs = few_.join(all_, (F.col("x.node") == F.col("y.node")) & (F.col("x.label") != F.col("y.label"))
-                      & ((F.col("y.label") == F.col("y.top")) | (F.col("x.rep") < F.col("y.rep"))) & alike("x", "y", percent))
-    pairs = pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
-    starred = big.select(F.struct("rep", "n", "s1", "s2", "label").alias("x"), F.col("pivot").alias("y")).where(F.col("x.rep") != F.col("y.rep"))
-    if labels is not None:
-        starred = starred.where(F.col("x.label") != F.col("y.label"))
-    starred = starred.where(alike("x", "y", percent)).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
-    rest = big.where(F.col("rep") != F.col("pivot.rep")).select("node", "rep", "n", "s1", "s2")
-    return materialize(pairs.union(starred).distinct(), "pairs"), rest
+        rows = members.count()
+        total = self.sets.select("_uid", F.size("set").alias("n")).join(few(members, rows), "_uid").agg(F.sum("n")).first()[0] or 0
+        parts = max(int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // GROUP_SHINGLES))
+        part = F.pmod("g", F.lit(parts)).alias("part")
+        carried = self.sets.join(few(members.select(part, "_uid").distinct(), rows), "_uid")
+        found = pairs.select(part, "a", "b").groupBy("part").cogroup(carried.groupBy("part")).applyInArrow(_confirmed(self.percent), "a bigint, b bigint")
+        found = materialize(found, "links")
+        discard(members, keys)
+        return found
+
+
+def _confirmed(percent: int):
+    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        held = {u: s.values.to_numpy() for u, s in zip(sets.column("_uid").to_pylist(), sets.column("set"))}
+        out = []
+        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist()):
+            x, y = held[a], held[b]
+            if len(x) > len(y):
+                x, y = y, x
+            at = np.searchsorted(y, x)
+            shared = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+            if shared * 100 >= (len(x) + len(y) - shared) * percent:
+                out.append((a, b))
+        cols = list(zip(*out)) if out else [(), ()]
+        return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64())})
+
+    return run
 
 
 def find(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"):
-    """(numbered documents, classes): the documents with a row number
-    ``_uid``, written once, and per row ``_uid``, the id, ``n_shingles`` and
-    ``label``, the least row number of its component."""
+    """(documents as ``_uid`` and ``_row``, classes): per row ``_uid``, ``id``,
+    ``n_shingles`` and ``label``, the least row identity of its component."""
     spark = docs.sparkSession
     text_batches(spark)
-    numbered = materialize(docs.withColumn("_uid", F.monotonically_increasing_id()), "numbered")
-    made = numbered.select("_uid", F.col(id_col).alias("_id"), _signatures(k)(F.col(text_col)).alias("s"))
+    numbered = identified(docs)
+    field = F.col("_row").getField
+    made = numbered.select("_uid", field(id_col).alias("_id"), _signatures(k)(field(text_col)).alias("s"))
     sig = materialize(made.select("_uid", "_id", "s.*"), "signatures")
     same = ["n", "ha", "hb"]
     classes = sig.where("n > 0").groupBy(*same).agg(F.min("_uid").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     places = roots(percent)
     first = F.array(*[F.xxhash64(F.lit(t), F.lit(p), F.get("tokens", F.lit(p))) for t, p in places])
-    narrow = sig.select("_uid", "_id", *same, "s1", "s2", F.when(F.col("n") > 0, first).alias("first"))
+    narrow = sig.select("_uid", "_id", *same, "s1", "s2", F.when(F.col("n") > 0, descend(first, percent, LEVELS - 1)).alias("first"))
     members = materialize(narrow.join(classes, same, "left").withColumn("rep", F.coalesce("rep", "_uid")), "members")
     reps = members.where((F.col("rep") == F.col("_uid")) & (F.col("n") > 0))
-    rows = reps.select(F.explode("first").alias("node"), "rep", "n", "s1", "s2")
-    links, labels, tokens = Links(numbered.select("_uid", F.col(text_col).alias("text")), k, percent), None, sig.select(F.col("_uid").alias("rep"), "tokens")
+    payload = ["n", "s1", "s2"]
+    rows = shared_nodes(reps.select(F.explode("first").alias("node"), "rep", *payload))
+    links, tokens = Links(numbered.select("_uid", field(text_col).alias("text")), k, percent), sig.select(F.col("_uid").alias("rep"), "tokens")
+    edges, labels = None, None
     while True:
-        pairs, rest = step(rows, labels, percent)
+        pairs, rest = step(rows, labels, lambda a, b: alike(a, b, percent), payload)
         if not pairs.isEmpty():
             found = links.confirm(pairs)
-            edges = found if labels is None else found.union(labels)
-            labels = components(edges)
-        rows = materialize(branch(rest, tokens, percent), "nodes")
+            edges = contract(found if edges is None else found.union(edges))
+            labels = nearest_labels(edges)
+        discard(rows)
+        rows = shared_nodes(branch(rest, tokens, percent))
+        discard(rest)
         if rows.isEmpty():
             break
-    if labels is not None:
+        sweep(spark)
+    if edges is not None:
+        labels = components(edges)
         members = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     else:
         members = members.withColumn("label", F.col("rep"))
-    return numbered, members.select("_uid", F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "label")
+    return numbered, members.select("_uid", F.col("_id").alias("id"), F.col("n").alias("n_shingles"), "label")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -242,8 +257,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     least id in its component) and ``kept`` (the row has that id)."""
     _, found = find(docs, k, percent, id_col, text_col)
     found = materialize(found, "classes")
-    least = found.groupBy("label").agg(F.min(id_col).alias("component_id"))
-    return found.join(least, "label").select(id_col, "n_shingles", "component_id", F.col(id_col).eqNullSafe(F.col("component_id")).alias("kept"))
+    least = found.groupBy("label").agg(F.min("id").alias("component_id"))
+    return found.join(least, "label").select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -251,10 +266,10 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_
     the first row."""
     numbered, found = find(docs, k, percent, id_col, text_col)
     found = materialize(found, "classes")
-    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "_uid"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_uid"))
     least = found.groupBy("label").agg(first.alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
     gone = materialize(found.join(least, "label").where(F.col("_uid") != F.col("first._uid")).select("_uid"), "gone")
-    return numbered.join(few(gone, gone.count()), "_uid", "left_anti").drop("_uid").select(*docs.columns)
+    return numbered.join(few(gone, gone.count()), "_uid", "left_anti").select("_row.*")
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tastemill.session import discard, materialize
 
-LEAF = 256                         # a quick comparison is a few bit operations
+LEAF = 128                         # a quick comparison is a few bit operations
 BROADCAST_IDS = 1_000_000          # ids sent to all executors at most (8 MB)
 
 
@@ -59,7 +59,9 @@ def shared_nodes(rows: DataFrame) -> DataFrame:
 
 def step(rows: DataFrame, labels: DataFrame | None, alike: Callable[[str, str], Column], payload: list[str], pivots: int = 1):
     """Compare a node table once: (candidate pairs ``a`` < ``b``, rows left,
-    both in written tables; the node table itself is used up).
+    both in written tables; the node table itself is used up). ``g`` numbers
+    pairs that share rows: the pairs of a node with up to ``LEAF`` rows on
+    each side.
 
     ``labels`` (``node``, ``label``) tells which rows are connected already.
     A node whose rows are all in one component is done. One with at most
@@ -77,18 +79,19 @@ def step(rows: DataFrame, labels: DataFrame | None, alike: Callable[[str, str],
     nodes = nodes.select("node", "total", F.col("most.label").alias("top"), (F.col("total") - F.col("most.c")).alias("rest"), "pivot").where("rest > 0")
     held = materialize(rows.join(nodes, "node"), "nodes")
     pair = [F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")]
+    group = lambda rep: F.xxhash64("node", F.pmod(F.xxhash64(rep), F.ceil(F.col("total") / LEAF))).alias("g")
     small, big = held.where(F.col("rest") <= LEAF), held.where(F.col("rest") > LEAF)
-    x, y = small.where(F.col("label") != F.col("top")).alias("x"), small.alias("y")
+    x, y = small.where(F.col("label") != F.col("top")).alias("x"), small.withColumn("g", group("rep")).alias("y")
     pairs = x.join(y, (F.col("x.node") == F.col("y.node")) & (F.col("x.label") != F.col("y.label"))
-                   & ((F.col("y.label") == F.col("y.top")) | (F.col("x.rep") < F.col("y.rep"))) & alike("x", "y")).select(*pair)
+                   & ((F.col("y.label") == F.col("y.top")) | (F.col("x.rep") < F.col("y.rep"))) & alike("x", "y")).select(*pair, F.col("y.g").alias("g"))
     leaves = F.col("rep") == F.col("pivot.rep")
     if pivots == 1:
-        starred = big.select(F.struct(*cols, "label").alias("x"), F.col("pivot").alias("y"))
+        starred = big.select(F.struct(*cols, "label").alias("x"), F.col("pivot").alias("y"), group("rep"))
     else:
         leaves = leaves | (F.pmod(F.xxhash64("node", "rep", F.lit(7)), F.col("total")) < pivots - 1)
         chosen = big.where(leaves).select("node", F.struct(*cols, "label").alias("y"))
-        starred = big.select("node", F.struct(*cols, "label").alias("x")).join(chosen, "node")
-    starred = starred.where((F.col("x.label") != F.col("y.label")) & alike("x", "y")).select(*pair)
-    found, left = materialize(pairs.union(starred).distinct(), "pairs"), materialize(big.where(~leaves).select("node", *cols), "rows")
+        starred = big.select("node", F.struct(*cols, "label").alias("x"), group("rep")).join(chosen, "node")
+    starred = starred.where((F.col("x.label") != F.col("y.label")) & alike("x", "y")).select(*pair, "g")
+    found, left = materialize(pairs.union(starred).groupBy("a", "b").agg(F.min("g").alias("g")), "pairs"), materialize(big.where(~leaves).select("node", *cols), "rows")
     discard(held)
     return found, left
