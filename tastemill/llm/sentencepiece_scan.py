@@ -44,10 +44,10 @@ from tastemill.llm.textbuf import spread, table, text_batches
 from tastemill.session import materialize
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK, BLOCK_OF_CHUNKS = 16384, 64
+CHUNK, BLOCK_OF_CHUNKS = 65536, 64
 SPACE = "▁"
 START = -1                       # the state before the first piece
-MEMO_WORDS = 300_000             # remembered words per Python worker
+MEMO_WORDS = 400_000             # remembered words per Python worker, the first ones it meets
 
 
 def load_model(path: str) -> dict:
@@ -177,17 +177,19 @@ class Lattice:
         """Pieces of a text between two cuts."""
         if self.bpe and self.chars.issuperset(w):
             # one state per position: a prefix has one encoding, hence one last piece
-            last, fits = [None] * (len(w) + 1), self.apart
-            last[0] = (START, 0)
+            size, fits = len(w), self.apart
+            last, length = [None] * (size + 1), [0] * (size + 1)
+            last[0] = START
             for e, (i, n, _) in self.auto.iter(w):
-                if last[e + 1] is None:
-                    before = last[e + 1 - n]
-                    if before is not None and (before[0] < 0 or fits[(before[0], i)]):
-                        last[e + 1] = (i, n)
-            out, at = [], len(w)
+                e += 1
+                if last[e] is None:
+                    before = last[e - n]
+                    if before is not None and (before < 0 or fits[before, i]):
+                        last[e], length[e] = i, n
+            out, at = [], size
             while at:
-                out.append(last[at][0])
-                at -= last[at][1]
+                out.append(last[at])
+                at -= length[at]
             return tuple(out[::-1])
         best = self.forward(w, {0: {START if self.bpe else 0: 0.0}}, len(w))
         return tuple(self.back(best, len(w), max(best[len(w)], key=lambda k: best[len(w)][k][0])))
@@ -252,8 +254,9 @@ class Lattice:
     def ends(self, left: str, body: str, right: str) -> tuple[int | None, int | None]:
         """First and last cut of a chunk, from 0 to its length."""
         whole, n = left[-1:] + body + right[:1], len(left[-1:])
-        at = [i for i in range(len(body) + 1) if not 0 < i + n < len(whole) or self.cut(whole[i + n - 1], whole[i + n])]
-        return (at[0], at[-1]) if at else (None, None)
+        is_cut = lambda i: not 0 < i + n < len(whole) or self.cut(whole[i + n - 1], whole[i + n])
+        first = next(filter(is_cut, range(len(body) + 1)), None)
+        return (first, None) if first is None else (first, next(filter(is_cut, range(len(body), -1, -1))))
 
     def paths(self, left: str, body: str, right: str, entry: tuple[int, int]):
         """The lattice from an entry state to the chunk's exits: the states
@@ -313,9 +316,7 @@ class Words(dict):
 
     def __missing__(self, w: str):
         got = tuple(self.lattice.ids(self.lattice.word(w)))
-        if len(w) <= 64:
-            if len(self) >= MEMO_WORDS:
-                self.clear()
+        if len(w) <= 64 and len(self) < MEMO_WORDS:
             self[w] = got
         return got
 
