@@ -6,8 +6,9 @@ with the smallest summed logistic loss (loss-weighted decoding). The score is
 the softmax of the negative losses; a small gap to the runner-up marks the
 text as ambiguous. Prediction reads the text only.
 
-Fitting takes a bounded sample of labelled rows: at most ``SAMPLE_ROWS``,
-dealt evenly over the languages by a hash of the text, whole texts each.
+Fitting takes a bounded sample of distinct labelled texts: ``SAMPLE_ROWS``
+at most, dealt evenly over the languages by a hash of the text, whole texts
+each. However often a text is repeated, it counts once.
 Their n-gram counts are made on the executors and gathered as sparse rows.
 Of more than ``MAX_LANGS`` labels, the most frequent ones are learned.
 
@@ -29,6 +30,7 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.window import Window
 
 from tastemill.llm.textbuf import LOWER, flat, gram_counts, spread, table, text_batches
+from tastemill.session import discard, materialize
 
 SAMPLE_ROWS = 2000
 MAX_LANGS = 200
@@ -105,22 +107,30 @@ def decode(margins: np.ndarray, code: np.ndarray) -> np.ndarray:
 
 
 def sample(labelled: DataFrame, rows: int = SAMPLE_ROWS, max_langs: int = MAX_LANGS) -> tuple[list[str], DataFrame]:
-    """The languages to learn and an even, hash-ordered sample of them."""
-    top = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
-    count = {r["lang"]: r["count"] for r in top}
-    langs = sorted(count)
+    """The languages to learn and an even, hash-ordered sample of their
+    distinct texts; every language has at least one."""
+    key = F.xxhash64("text").alias("k")
+    keys = materialize(labelled.select("lang", key).groupBy("lang", "k").agg(F.count(F.lit(1)).alias("c")), "keys")
+    top = keys.groupBy("lang").agg(F.sum("c").alias("rows"), F.count(F.lit(1)).alias("texts"), F.min("k").alias("least"))
+    top = {r["lang"]: r for r in top.orderBy(F.desc("rows"), "lang").limit(max_langs).collect()}
+    langs = sorted(top)
     each = max(1, rows // max(1, len(langs)))
     if not langs:
         return [], labelled.limit(0)
-    # a hash threshold thins each language to a few times its share, so the
-    # exact cut below moves a bounded number of texts at any size
-    share = F.lit(0.0)
+    # a hash threshold thins the keys of each language to a few times its
+    # share, so the exact cut below moves a bounded number of keys at any size
+    share, least = F.lit(0.0), F.lit(None).cast("bigint")
     for name in langs:
-        share = F.when(F.col("lang") == name, F.lit(min(1.0, (4 * each + 64) / count[name]))).otherwise(share)
-    place = (F.xxhash64("text").bitwiseAND((1 << 40) - 1) / F.lit(float(1 << 40)))
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    return langs, (labelled.where(place < share).withColumn("_at", F.row_number().over(w))
-                   .where(F.col("_at") <= each).select("text", "lang"))
+        share = F.when(F.col("lang") == name, F.lit(min(1.0, (4 * each + 64) / top[name]["texts"]))).otherwise(share)
+        least = F.when(F.col("lang") == name, F.lit(top[name]["least"])).otherwise(least)
+    place = F.col("k").bitwiseAND((1 << 40) - 1) / F.lit(float(1 << 40))
+    w = Window.partitionBy("lang").orderBy("k")
+    thin = keys.where((place < share) | (F.col("k") == least)).withColumn("_at", F.row_number().over(w))
+    chosen = materialize(thin.where(F.col("_at") <= each).select("lang", "k"), "chosen")      # at most ``rows`` or one per language
+    discard(keys)
+    # copies of a text meet in a partial aggregate, one per task travels
+    return langs, (labelled.select("text", "lang", key).join(F.broadcast(chosen), ["lang", "k"])
+                   .groupBy("lang", "k").agg(F.min("text").alias("text")).select("text", "lang"))
 
 
 def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, max_langs: int = MAX_LANGS) -> dict:
