@@ -7,8 +7,9 @@ A value is a tuple of symbols, each from its own alphabet (digits, letters,
 octets); an unbalanced Feistel network with a keyed hash permutes the tuples
 of one shape, so equal values get equal pseudonyms in every document and
 different values stay different. Check digits are recomputed, dates stay
-dates, separators, letter case and e-mail top domains stay in place. Numbers
-that fail their check are left alone.
+dates, separators, letter case and e-mail top domains stay in place. Of a
+number that fails its check the prefixes up to a separator and what follows
+its first token are tried; what fails then is left alone.
 
 Edge cases: a null text stays null, an empty one empty, both with no spans;
 overlapping candidates resolve to the leftmost, longest kind first; texts of
@@ -39,13 +40,14 @@ FOUND_ARROW = pa.struct([("text", pa.string()), ("spans", pa.list_(pa.struct(
 PATTERN = re.compile(r"""
   (?P<email>(?<![\w.%+-])[\w%+-][\w.%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})
 | (?P<iban>(?<!\w)[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}(?!\w))
-| (?P<hex>(?<!\w)(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{32,}(?!\w))
+| (?P<hex>(?<!\w)(?:(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{32,}|(?=[0-9]*[A-F])(?=[A-F]*[0-9])[0-9A-F]{32,})(?!\w))
 | (?P<ipv4>(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w]|\.[0-9]))
-| (?P<date>(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![\w/-]|\.[0-9]))
+| (?P<date>(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}(?=T[0-9]{2}:)|(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![\w/-]|\.[0-9])))
 | (?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))
 | (?P<card>(?<![\w.+-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-]|\.[0-9]))
 | (?P<phone>(?<![\w.])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-]|\.[0-9])|(?<!\w)\+[0-9](?:[ ().-]{0,2}[0-9]){7,14}(?!\w))
 """, re.X)
+KINDS = {re.search(r"<(\w+)>", p).group(1): re.compile(p, re.X) for p in re.split(r"\n\| ", PATTERN.pattern)}
 SIGN = re.compile(r"[0-9@]")
 
 
@@ -153,20 +155,24 @@ def pseudonym(kind: str, s: str, key: bytes) -> str | None:
             return None
         return ".".join(map(str, feistel(octets, [256] * 4, key, kind)))
     if kind == "date":
-        y, m, d = (int(x) for x in (s[:4], s[5:7], s[8:10]) ) if s[4] == "-" else (int(s[6:]), int(s[3:5]), int(s[:2]))
+        iso = s[4] == "-"
+        y, m, d = (int(x) for x in ((s[:4], s[5:7], s[8:]) if iso else (s[6:], s[3:5], s[:2])))
+        american = not iso and m > 12       # mm/dd can't be read as dd/mm
+        if american:
+            m, d = d, m
         try:
             day = datetime.date(y, m, d).toordinal() - DAY0
         except ValueError:
             return None
         if not 0 <= day < DAYS:
             return None
-        while True:                 # cycle walking keeps the permutation on valid days
+        while True:                 # cycle walking keeps the permutation on valid days, and mm/dd on days after the 12th
             high, low = feistel(list(divmod(day, 271)), [270, 271], key, kind)
             day = high * 271 + low
-            if day < DAYS:
+            if day < DAYS and not (american and datetime.date.fromordinal(day + DAY0).day <= 12):
                 break
         new = datetime.date.fromordinal(day + DAY0)
-        return new.strftime("%Y-%m-%d" if s[4] == "-" else f"%d{s[2]}%m{s[5]}%Y")
+        return new.strftime("%Y-%m-%d" if iso else f"%m{s[2]}%d{s[5]}%Y" if american else f"%d{s[2]}%m{s[5]}%Y")
     if kind == "ssn":
         if s[:3] in ("000", "666") or s[0] == "9" or s[4:6] == "00" or s[7:] == "0000":
             return None
@@ -180,8 +186,27 @@ def pseudonym(kind: str, s: str, key: bytes) -> str | None:
         body = permute_chars(digits[country:], key, kind)
         return refill(s, digits[:country] + body)
     if kind == "hex":
-        new = feistel([int(c, 16) for c in s], [16] * len(s), key, kind)
-        return "".join(f"{v:x}" for v in new)
+        new = "".join(f"{v:x}" for v in feistel([int(c, 16) for c in s], [16] * len(s), key, kind))
+        return new if s.islower() else new.upper()
+    return None
+
+
+def checked(m: re.Match, text: str, end: int, key: bytes):
+    """(kind, end, replacement) of a candidate: as it is, else its longest
+    prefix up to a separator that passes, else by a later kind at its place."""
+    whole, kind = m.group(), m.lastgroup
+    if (new := pseudonym(kind, whole, key)) is not None:
+        return kind, m.end(), new
+    if kind in ("card", "iban"):
+        least = 13 if kind == "card" else 15
+        for i in range(len(whole) - 1, 0, -1):
+            if whole[i] in " -" and sum(c.isalnum() for c in whole[:i]) >= least and (new := pseudonym(kind, whole[:i], key)) is not None:
+                return kind, m.start() + i, new
+    names = list(KINDS)
+    for later in names[names.index(kind) + 1:]:
+        if other := KINDS[later].match(text, m.start(), end):
+            if found := checked(other, text, end, key):
+                return found
     return None
 
 
@@ -191,12 +216,16 @@ def pseudonymise(text: str | None, key: bytes) -> dict:
         return {"text": None, "spans": []}
     out, spans, done = [], [], 0
     for start, end in lines_with_signs(text):
-        for m in PATTERN.finditer(text, start, end):
-            new = pseudonym(m.lastgroup, m.group(), key)
-            if new is not None:
-                out += [text[done:m.start()], new]
-                spans.append({"kind": m.lastgroup, "start": m.start(), "end": m.end()})
-                done = m.end()
+        at = start
+        while m := PATTERN.search(text, at, end):
+            found = checked(m, text, end, key)
+            if found is None:       # go on behind the first token
+                at = m.start() + len(re.split(r"[ -]", m.group(), maxsplit=1)[0]) or m.end()
+                continue
+            kind, at, new = found
+            out += [text[done:m.start()], new]
+            spans.append({"kind": kind, "start": m.start(), "end": at})
+            done = at
     return {"text": "".join([*out, text[done:]]) if spans else text, "spans": spans}
 
 
