@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tastemill.llm import ann, decontaminate, lang_id, line_dedup, near_dedup, pii, quality, sentencepiece_scan, sharding, url_filter
+from tastemill.llm import ann, decontaminate, lang_id, line_dedup, merkle, near_dedup, pii, quality, sentencepiece_scan, sharding, token_files, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": near_dedup.op1_near_duplicates,
@@ -19,10 +19,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_shards": sharding.op8_shards,
     "op9_pii": pii.op9_pii,
     "op10_quality": quality.op10_quality,
+    "op11_merkle": merkle.op11_merkle,
+    "op12_token_files": token_files.op12_token_files,
 }
 
 SQL: dict[str, str] = {
     "op1_near_duplicates": near_dedup.SQL,
     "op5_decontaminate": decontaminate.SQL,
     "op7_nearest": ann.SQL,
+    "op11_merkle": merkle.SQL,
 }
