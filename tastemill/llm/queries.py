@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tastemill.llm import ann, decontaminate, lang_id, line_dedup, merkle, near_dedup, pii, quality, sentencepiece_scan, sharding, token_files, url_filter
+from tastemill.llm import align, ann, decontaminate, lang_id, line_dedup, merkle, near_dedup, pii, quality, sentencepiece_scan, sharding, token_files, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": near_dedup.op1_near_duplicates,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": quality.op10_quality,
     "op11_merkle": merkle.op11_merkle,
     "op12_token_files": token_files.op12_token_files,
+    "op13_align": align.op13_align,
 }
 
 SQL: dict[str, str] = {
