@@ -15,9 +15,9 @@ Counts of pairs are document frequencies. Pairs that make up over 1/``HOT`` of
 all are at most ``HOT``, whatever the input: they travel as one sorted array.
 The others are joined by shuffle, none of them hot enough to hurt.
 
-Both libraries take a space into the word behind it, so a single space between
-two words is a place where both end a token. Texts are encoded and aligned
-between such places; what was met before is remembered up to a bound.
+Texts are encoded whole and aligned some at a time, all tokens of a batch at
+once: equal offsets are found in two sorted lists. Parts of words that A has
+met are remembered up to a bound.
 
 Edge cases: null and empty texts, and texts that one of the tokenizers does
 not give back byte by byte (U+2581 is a space to B), have no tokens; repeated
@@ -27,7 +27,6 @@ rows count one by one; special tokens' strings are plain text.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,22 +35,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tastemill.llm.textbuf import spread, table
-from tastemill.llm.token_files import library_tokenizer, on_worker
+from tastemill.llm.token_files import DIGITS, LETTERS, Words, byte_of_char, library_tokenizer, on_worker
 from tastemill.session import materialize
 
 A_PATH, B_PATH = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 HOT = 50_000                         # pairs in the array that all tasks get, at most
-MEMO = 100_000                       # remembered stretches of text per Python worker
-LINKS = "doc_id {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, same array<int>, same_m array<int>, odd array<bigint>, odd_m array<int>"
-
-
-def byte_of_char() -> dict[str, int]:
-    """The byte that each character of a byte-level vocabulary stands for:
-    printable bytes stand for themselves, the others follow from 256 on."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+BYTES, BIG = 4 << 20, 1 << 12        # signs aligned at a time (or one text); links of a group that is counted by distinct ids
+ID = (1 << 20) - 1
+A_PARTS = f"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^\\s{LETTERS}{DIGITS}]+|\\s+(?!\\S)|\\s+"      # A's own pattern, for plain texts
+LINKS = "doc_id {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, same array<int>, same_m array<bigint>, odd array<bigint>, odd_m array<bigint>"
 
 
 def a_bytes(tokenizer) -> list[bytes]:
@@ -79,95 +72,86 @@ def identity_map(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return np.array([at.get(x, -1) if x else -1 for x in a], dtype=np.int64)
 
 
+def joined(of: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All tokens' bytes, their lengths and where they start."""
+    size = np.array([len(x) for x in of], dtype=np.int64)
+    return np.frombuffer(b"".join(of), np.uint8), size, np.cumsum(size) - size
+
+
+def spelled(ids: np.ndarray, of: tuple) -> np.ndarray:
+    """The bytes of a run of tokens."""
+    data, size, start = of
+    n = size[ids]
+    return data[np.arange(int(n.sum())) + np.repeat(start[ids] - (np.cumsum(n) - n), n)]
+
+
 class Aligner:
     """Both tokenizers on one Python worker."""
 
     def __init__(self, a_file: str, b_model: bytes):
         from sentencepiece import SentencePieceProcessor
 
-        self.a, self.b = library_tokenizer(a_file, plain_specials=True), SentencePieceProcessor(model_proto=b_model)
-        self.a_of, self.b_of = a_bytes(self.a), b_bytes(self.b)
-        self.same = identity_map(self.a_of, self.b_of).tolist()
-        # a cut before a space is one of B's only if no piece holds a space behind another sign
-        self.cuts = not any(SPACE in self.b.id_to_piece(i).lstrip(SPACE) for i in range(self.b.get_piece_size()))
-        self.memo: dict[str, tuple] = {}
-
-    def groups(self, stretch: str) -> list[tuple[list[int], list[int]]] | None:
-        """Ids of both sides group by group in a stretch that begins with the
-        added space; None if the bytes don't come back."""
-        a, b = self.a.encode(stretch, add_special_tokens=False).ids, self.b.encode(stretch[1:])
-        whole = stretch.encode()
-        if b"".join([self.a_of[i] for i in a]) != whole or b"".join([self.b_of[i] for i in b]) != whole:
-            return None
-        out, i, j, end_a, end_b = [], 0, 0, 0, 0
-        while i < len(a):
-            i0, j0 = i, j
-            end_a, end_b = end_a + len(self.a_of[a[i]]), end_b + len(self.b_of[b[j]])
-            i, j = i + 1, j + 1
-            while end_a != end_b:
-                if end_a < end_b:
-                    end_a += len(self.a_of[a[i]])
-                    i += 1
-                else:
-                    end_b += len(self.b_of[b[j]])
-                    j += 1
-            out.append((a[i0:i], b[j0:j]))
-        return out
-
-    def aligned(self, stretch: str) -> tuple | None:
-        """(tokens of A, of B, groups, links, the groups as text, links on the
-        map by A id, other links by pair), with numbers of occurrences."""
-        found = self.groups(stretch)
-        if found is None:
-            return None
-        same, odd, links = Counter(), Counter(), 0
-        for a, b in found:
-            links += len(a) * len(b)
-            for x, p in Counter(a).items():
-                for y, q in Counter(b).items():
-                    if self.same[x] == y:
-                        same[x] += p * q
-                    else:
-                        odd[x << 32 | y] += p * q
-        text = ";".join([",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in found])
-        return sum(len(a) for a, _ in found), sum(len(b) for _, b in found), len(found), links, text, tuple(same.items()), tuple(odd.items())
-
-    def stretches(self, text: str) -> list[str]:
-        """A space and the text, cut before single spaces between words."""
-        if not self.cuts:
-            return [" " + text]
-        out, held, closed = [], [], False
-        for part in text.split(" "):
-            if closed and part and not part[0].isspace():
-                out.append("".join(held))
-                held = []
-            held += [" ", part]
-            closed = part != "" and not part[-1].isspace()
-        return [*out, "".join(held)]
-
-    def document(self, text: str | None) -> tuple:
-        """The stretches' results added up, and a digest of the groups."""
-        if not text or SPACE in text:
-            return 0, 0, 0, 0, "", {}, {}
-        parts, memo, seen = self.stretches(text), self.memo, {}
-        n_a = n_b = n_groups = n_links = 0
-        same, odd = {}, {}
-        for part, times in Counter(parts).items():
-            got = memo.get(part)
-            if got is None:
-                got = self.aligned(part)
-                if got is None:
-                    return 0, 0, 0, 0, "", {}, {}
-                if len(part) <= 64 and len(memo) < MEMO:
-                    memo[part] = got
-            seen[part] = got[4]
-            n_a, n_b, n_groups, n_links = n_a + got[0] * times, n_b + got[1] * times, n_groups + got[2] * times, n_links + got[3] * times
-            for x, m in got[5]:
-                same[x] = same.get(x, 0) + m * times
-            for p, m in got[6]:
-                odd[p] = odd.get(p, 0) + m * times
-        digest = hashlib.sha256(";".join(map(seen.__getitem__, parts)).encode()).hexdigest()
-        return n_a, n_b, n_groups, n_links, digest, same, odd
+        a, self.b = library_tokenizer(a_file, plain_specials=True), SentencePieceProcessor(model_proto=b_model)
+        a_of, b_of = a_bytes(a), b_bytes(self.b)
+        self.a_of, self.b_of = joined(a_of), joined(b_of)
+        self.same = identity_map(a_of, b_of)
+        self.words = Words(a, A_PARTS, False)
+        self.words.special = []
+        self.shown = [b"%d%s" % (i, mark) for i in range(max(len(a_of), len(b_of))) for mark in (b",", b"|", b";")]
+
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        a = [self.words.by_part(t) if self.words.quick(t) else self.words.whole(t) for t in [" " + t for t in texts]]
+        return [np.frombuffer(x, "<u4") for x in a], [np.array(x, dtype=np.uint32) for x in self.b.encode(texts, num_threads=1)]
+
+    def ids(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of both sides, none where a side doesn't give the bytes back."""
+        a, b = self.encode(["" if t is None else t for t in texts])
+        whole = [(" " + t).encode() if t else b"" for t in texts]
+        ok = [len(w) > 0 for w in whole]
+        for side, of in ((a, self.a_of), (b, self.b_of)):
+            size = [int(of[1][x].sum()) for x in side]
+            back, at = spelled(np.concatenate(side), of).tobytes(), 0
+            for i, n in enumerate(size):
+                ok[i] = ok[i] and back[at:at + n] == whole[i]
+                at += n
+        return tuple([x if k else x[:0] for x, k in zip(side, ok)] for side in (a, b))
+
+    def documents(self, texts: list[str | None]) -> tuple:
+        """Per text: tokens of A and of B, groups, links, digest of the
+        groups; and the links as (text, A id, B id, occurrences), sorted."""
+        sides = self.ids(texts)
+        n_a, n_b = (np.array([len(x) for x in side], dtype=np.int64) for side in sides)
+        a, b = (np.concatenate(side).astype(np.int64) for side in sides)
+        doc = np.repeat(np.arange(len(texts)), n_a)
+        # both sides' bytes are equal text by text, so one running offset serves all texts
+        end_a, end_b = np.cumsum(self.a_of[1][a]), np.cumsum(self.b_of[1][b])
+        shut_a, shut_b = (np.isin(x, y, assume_unique=True) for x, y in ((end_a, end_b), (end_b, end_a)))
+        group_a, group_b = np.cumsum(shut_a) - shut_a, np.cumsum(shut_b) - shut_b
+        of_a, of_b = np.bincount(group_a), np.bincount(group_b)                         # tokens by group
+        home = doc[shut_a]
+        add = lambda x: np.bincount(home, weights=x, minlength=len(texts)).astype(np.int64)
+        n_groups, n_links = add(np.ones(len(home))), add(of_a * of_b)
+
+        first_a, first_b = np.cumsum(of_a) - of_a, np.cumsum(of_b) - of_b
+        marks = np.empty(len(a) + len(b), dtype=np.int64)                               # id and what follows it
+        marks[np.arange(len(a)) + first_b[group_a]] = a * 3 + shut_a
+        marks[np.arange(len(b)) + first_a[group_b] + of_a[group_b]] = b * 3 + 2 * shut_b
+        ends = np.cumsum(n_a + n_b)
+        texts_ = [b"".join(map(self.shown.__getitem__, marks[lo:hi].tolist()))[:-1] for lo, hi in zip(ends - n_a - n_b, ends)]
+        digests = [hashlib.sha256(t).hexdigest() if t else "" for t in texts_]
+
+        big = of_a * of_b > BIG
+        each = np.where(big[group_a], 0, of_b[group_a])                                 # A tokens meet their group's B tokens
+        left = np.repeat(np.arange(len(a)), each)
+        right = np.arange(len(left)) - np.repeat(np.cumsum(each) - each, each) + first_b[group_a[left]]
+        keys, times = [doc[left] << 40 | a[left] << 20 | b[right]], [np.ones(len(left), dtype=np.int64)]
+        for g in np.flatnonzero(big):                                                   # by distinct ids, not by occurrence
+            (x, p), (y, q) = (np.unique(i[f[g]:f[g] + n[g]], return_counts=True) for i, f, n in ((a, first_a, of_a), (b, first_b, of_b)))
+            keys.append((home[g] << 40 | x[:, None] << 20 | y).reshape(-1))
+            times.append((p[:, None] * q).reshape(-1))
+        key, at = np.unique(np.concatenate(keys), return_inverse=True)
+        count = np.bincount(at, weights=np.concatenate(times), minlength=len(key)).astype(np.int64)
+        return n_a, n_b, n_groups, n_links, digests, (key >> 40, key >> 20 & ID, key & ID, count)
 
 
 def links(docs: DataFrame, a_path: str = A_PATH, b_path: str = B_PATH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -182,17 +166,27 @@ def links(docs: DataFrame, a_path: str = A_PATH, b_path: str = B_PATH, id_col: s
     name = "align " + hashlib.sha256(a_file.encode() + b_model).hexdigest()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
+    def lists(doc: np.ndarray, values: np.ndarray, rows: int, kind: pa.DataType) -> pa.ListArray:
+        off = np.searchsorted(doc, np.arange(rows + 1)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(off), pa.array(values, kind))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = on_worker(name, lambda: Aligner(*held.value))
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                some = batch.slice(lo, 256)
-                done = [at.document(t.as_py()) for t in some.column(1)]
-                cols = list(zip(*done))
-                arrays = [pa.array(c, t) for c, t in zip(cols[:5], [*[pa.int64()] * 4, pa.string()])]
-                lists = [pa.array([list(f(d)) for d in c], pa.list_(t)) for c, t in ((cols[5], pa.int32()), (cols[6], pa.int64())) for f, t in ((dict.keys, t), (dict.values, pa.int32()))]
-                yield pa.RecordBatch.from_arrays([some.column(0), *arrays, *lists],
+            lo = 0
+            while lo < batch.num_rows:                  # some texts at a time, by their bytes
+                texts, size = [], 0
+                while lo + len(texts) < batch.num_rows and len(texts) < 256 and size < BYTES:
+                    texts.append(batch.column(1)[lo + len(texts)].as_py())
+                    size += len(texts[-1] or "")
+                n = len(texts)
+                n_a, n_b, n_groups, n_links, digests, (doc, a, b, count) = at.documents(texts)
+                same = at.same[a] == b if len(a) else np.zeros(0, dtype=bool)
+                cols = [lists(doc[same], a[same], n, pa.int32()), lists(doc[same], count[same], n, pa.int64()),
+                        lists(doc[~same], (a << 32 | b)[~same], n, pa.int64()), lists(doc[~same], count[~same], n, pa.int64())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), *[pa.array(c) for c in (n_a, n_b, n_groups, n_links)], pa.array(digests, pa.string()), *cols],
                                                  names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "same", "same_m", "odd", "odd_m"])
+                lo += n
 
     out = rows.mapInArrow(run, LINKS.format(kind=rows.schema["id"].dataType.simpleString()))
     return materialize(out.withColumn("uid", F.monotonically_increasing_id()), "links")
@@ -236,7 +230,7 @@ def with_counts(found: DataFrame, hot: int = HOT) -> DataFrame:
     most = vector(best, "best")
     held = spark.sparkContext.broadcast((vector(same, "n"), most, top["pair"].to_numpy(dtype=np.int64), top["n"].to_numpy(dtype=np.int64)))
     kept = [f for f in found.schema.fields if f.name not in ("same", "same_m", "odd", "odd_m")]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", n_best bigint, count_sum bigint, rare array<bigint>, rare_m array<int>"
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", n_best bigint, count_sum bigint, rare array<bigint>, rare_m array<bigint>"
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same_n, highest, pairs, pair_n = held.value
@@ -250,11 +244,11 @@ def with_counts(found: DataFrame, hot: int = HOT) -> DataFrame:
 
         for batch in batches:
             ids, size = lists(batch, "same")
-            m = lists(batch, "same_m")[0].astype(np.int64)
+            m = lists(batch, "same_m")[0]
             n = same_n[ids] if len(ids) else m
             best_, sum_ = per_row(m * (n == highest[ids]) if len(ids) else m, size), per_row(m * n, size)
             odd_, size = lists(batch, "odd")
-            m = lists(batch, "odd_m")[0].astype(np.int64)
+            m = lists(batch, "odd_m")[0]
             at = np.minimum(np.searchsorted(pairs, odd_), max(len(pairs) - 1, 0))
             hit = pairs[at] == odd_ if len(pairs) else np.zeros(len(odd_), dtype=bool)
             n = np.where(hit, pair_n[at], 0) if len(pairs) else np.zeros(len(odd_), dtype=np.int64)
@@ -262,12 +256,12 @@ def with_counts(found: DataFrame, hot: int = HOT) -> DataFrame:
             left = per_row((~hit).astype(np.int64), size)
             off = pa.array(np.concatenate([[0], np.cumsum(left)]).astype(np.int32))
             cols = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
-            rare = [pa.ListArray.from_arrays(off, pa.array(odd_[~hit])), pa.ListArray.from_arrays(off, pa.array(m[~hit].astype(np.int32)))]
+            rare = [pa.ListArray.from_arrays(off, pa.array(odd_[~hit])), pa.ListArray.from_arrays(off, pa.array(m[~hit]))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(best_), pa.array(sum_), *rare], names=[*[f.name for f in kept], "n_best", "count_sum", "rare", "rare_m"])
 
     part = materialize(found.mapInArrow(known, schema), "counted")
     others = odd.where(F.col("n") <= total / hot).join(F.broadcast(best.withColumnRenamed("a", "x")), a_of == F.col("x")).select("pair", "n", (F.col("n") == F.col("best")).alias("top"))
-    rare = part.select("uid", F.explode(F.arrays_zip("rare", "rare_m")).alias("r")).select("uid", F.col("r.rare").alias("pair"), F.col("r.rare_m").cast("bigint").alias("m"))
+    rare = part.select("uid", F.explode(F.arrays_zip("rare", "rare_m")).alias("r")).select("uid", F.col("r.rare").alias("pair"), F.col("r.rare_m").alias("m"))
     more = rare.join(others, "pair").groupBy("uid").agg(F.sum(F.col("m") * F.col("top").cast("int")).alias("more_best"), F.sum(F.col("m") * F.col("n")).alias("more_sum"))
     plus = lambda c, d: (F.col(c) + F.coalesce(d, F.lit(0))).alias(c)
     return part.join(more, "uid", "left").select(*[f.name for f in kept], plus("n_best", "more_best"), plus("count_sum", "more_sum"))
