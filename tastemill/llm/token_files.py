@@ -25,10 +25,12 @@ empty table gives no segment and no row.
 
 from __future__ import annotations
 
+import re
 import struct
 import sys
+import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +44,9 @@ from tastemill.session import materialize
 
 MODEL_PATH = "/opt/tokenizers/word_bpe_49k.json"
 END = 2
-BLOCK, PERCENTILE, SEGMENT = 256, 90, 1 << 16
-MEMO_WORDS = 200_000                # remembered words per Python worker
+BLOCK, PERCENTILE, SEGMENT = 512, 90, 1 << 16
+MEMO_WORDS, MEMO_PARTS = 200_000, 800_000       # remembered words and parts of words per Python worker
+LETTERS, DIGITS = "a-zA-ZÀ-ÖØ-öø-ÿ", "0-9"       # of the signs ! to ~ and À to ÿ, which no normalisation changes
 MAGIC = b"PFR1"
 SEGMENTS = ("shard int, seq int, first bigint, n_ids int, data binary, "
             "docs array<struct<id:{kind},no:bigint,piece:int,pieces:int,at:int,n:int>>")
@@ -59,15 +62,17 @@ def pack(ids: np.ndarray) -> bytes:
     grid = grid.reshape(blocks, BLOCK)
     low = grid.min(axis=1)
     delta = grid - low[:, None]
-    cut = np.sort(delta, axis=1)[:, -(-BLOCK * PERCENTILE // 100) - 1].astype(np.float64)
+    nth = -(-BLOCK * PERCENTILE // 100) - 1
+    cut = np.partition(delta, nth, axis=1)[:, nth].astype(np.float64)
     width = np.ceil(np.log2(cut + 1)).astype(np.int64)
     odd_row, odd_at = np.nonzero(delta >= np.left_shift(np.uint64(1), width.astype(np.uint64))[:, None])
     held = np.split(odd_at, np.searchsorted(odd_row, np.arange(1, blocks)))
     packed: list[bytes] = [b""] * blocks
     for w in np.unique(width[width > 0]):
         rows = np.flatnonzero(width == w)
-        bits = (delta[rows][:, :, None] >> np.arange(w, dtype=np.uint32) & 1).astype(np.uint8)
-        for r, line in zip(rows, np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little")):
+        bits = np.unpackbits(delta[rows].astype("<u4").view(np.uint8).reshape(len(rows), BLOCK, 4), axis=2, bitorder="little")[:, :, :w]
+        lines = np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little")
+        for r, line in zip(rows, lines):
             packed[r] = line.tobytes()
     body = [struct.pack("<IBxH", int(low[r]), int(width[r]), len(held[r])) + packed[r] + held[r].astype("<u2").tobytes() + delta[r][held[r]].astype("<u4").tobytes()
             for r in range(blocks)]
@@ -85,16 +90,22 @@ def unpack(data: bytes, lo: int = 0, hi: int | None = None) -> np.ndarray:
         return np.zeros(0, dtype=np.uint32)
     starts = np.frombuffer(data, "<u4", blocks + 1, 12)
     first, last = lo // BLOCK, (hi - 1) // BLOCK
-    out = np.empty((last - first + 1, BLOCK), dtype=np.uint32)
-    for r in range(first, last + 1):
-        at = 12 + 4 * (blocks + 1) + int(starts[r])
-        low, width, odd = struct.unpack_from("<IBxH", data, at)
-        size = BLOCK * width // 8
-        bits = np.unpackbits(np.frombuffer(data, np.uint8, size, at + 8), bitorder="little").reshape(BLOCK, width)
-        line = out[r - first]
-        line[:] = bits @ (np.uint32(1) << np.arange(width, dtype=np.uint32)) if width else 0
-        line[np.frombuffer(data, "<u2", odd, at + 8 + size)] = np.frombuffer(data, "<u4", odd, at + 8 + size + 2 * odd)
-        line += np.uint32(low)
+    body, at = 12 + 4 * (blocks + 1), starts[first:last + 1].astype(np.int64)
+    heads = [struct.unpack_from("<IBxH", data, body + int(x)) for x in at]
+    width = np.array([h[1] for h in heads])
+    out = np.zeros((len(at), BLOCK), dtype=np.uint32)
+    whole = np.frombuffer(data, np.uint8)
+    for w in np.unique(width[width > 0]):
+        rows = np.flatnonzero(width == w)
+        lines = whole[(body + 8 + at[rows])[:, None] + np.arange(BLOCK * w // 8)]
+        bits = np.zeros((len(rows), BLOCK, 32), dtype=np.uint8)
+        bits[:, :, :w] = np.unpackbits(lines, axis=1, bitorder="little").reshape(len(rows), BLOCK, w)
+        out[rows] = np.packbits(bits, axis=2, bitorder="little").reshape(len(rows), -1).view("<u4")
+    for line, (_, w, odd), x in zip(out, heads, at):
+        if odd:
+            end = body + 8 + int(x) + BLOCK * w // 8
+            line[np.frombuffer(data, "<u2", odd, end)] = np.frombuffer(data, "<u4", odd, end + 2 * odd)
+    out += np.array([h[0] for h in heads], dtype=np.uint32)[:, None]
     return out.reshape(-1)[lo - first * BLOCK:hi - first * BLOCK]
 
 
@@ -119,37 +130,94 @@ def library_tokenizer(text: str, plain_specials: bool = False):
     return found
 
 
+def byte_of_char() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for:
+    printable bytes stand for themselves, the others follow from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
+class Parts(dict):
+    """Part of a word -> its ids as little-endian bytes by the library's
+    model, the first ones met held up to a bound."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.tokenize, self.sign = model.tokenize, {b: c for c, b in byte_of_char().items()}
+        self.blank = {b: self.sign[b] for b in b" \n"}          # the signs of plain texts that don't stand for themselves
+
+    def __missing__(self, part: str) -> bytes:
+        if not part.isascii():
+            part_ = "".join(map(self.sign.__getitem__, part.encode()))
+        elif part.isalnum():
+            part_ = part
+        else:
+            part_ = part.translate(self.blank)
+        got = array("I", [t.id for t in self.tokenize(part_)]).tobytes()
+        if len(part) <= 64 and len(self) < MEMO_PARTS:
+            self[part] = got
+        return got
+
+
 class Words(dict):
-    """Word -> ids by the library, the first ones met held up to a bound."""
+    """Word -> its ids as little-endian bytes, the first ones met held up to a
+    bound. What holds printable ASCII signs and Latin-1 letters only is cut by
+    the tokenizer's own pattern, and the library's model encodes each part;
+    any other word goes through the library's whole encoding."""
 
-    def __init__(self, tokenizer):
+    def __init__(self, tokenizer, pattern: str | None, lower: bool):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.lower, self.parts = tokenizer, lower, Parts(tokenizer.model)
+        self.find = re.compile(pattern).findall if pattern else None
+        self.plain = re.compile("[ -~À-ÿ\n]*").fullmatch
+        self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def quick(self, text: str) -> bool:
+        """May the text be cut by the pattern?"""
+        return self.find is not None and self.plain(text) is not None and not any(t in text for t in self.special)
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        got = tuple(self.tokenizer.encode(word, add_special_tokens=False).ids)
+    def by_part(self, text: str) -> bytes:
+        return b"".join(map(self.parts.__getitem__, self.find(text.lower() if self.lower else text)))
+
+    def __missing__(self, word: str) -> bytes:
+        got = self.by_part(word) if self.quick(word) else self.whole(word)
         if len(word) <= 64 and len(self) < MEMO_WORDS:
             self[word] = got
         return got
 
 
-def splits_at_spaces(spec: dict) -> bool:
-    """Does a tokenizer file drop white space before it looks for words?"""
-    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [spec.get("pre_tokenizer") or {}]
-    first = steps[0]
-    return first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") \
-        and "\\s" in first["pattern"].get("Regex", "").rsplit("[^", 1)[-1] and not any(" " in t["content"] or "\n" in t["content"] for t in spec["added_tokens"])
+def word_rule(spec: dict) -> tuple[str | None, bool]:
+    """(pattern of a word's parts, for plain words; whether letters fold) of a
+    tokenizer file that drops white space before it looks for parts, else
+    (None, False)."""
+    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    norms = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers") or []]
+    if [t["type"] for t in steps] != ["Split", "ByteLevel"] or not set(norms) <= {"NFC", "Replace", "Lowercase"} or spec["model"]["type"] != "BPE":
+        return None, False
+    pattern = steps[0]["pattern"].get("Regex", "")
+    spaced = steps[0]["behavior"] != "Removed" or not steps[0]["invert"] or not pattern.endswith("[^\\s\\p{L}\\p{N}]+")
+    if spaced or steps[1]["use_regex"] or steps[1]["add_prefix_space"] or any(" " in t["content"] or "\n" in t["content"] for t in spec["added_tokens"]):
+        return None, False
+    return pattern.replace("\\p{L}", LETTERS).replace("\\p{N}", DIGITS), "Lowercase" in norms
 
 
-def text_ids(text: str | None, words: Words, by_word: bool, end: int) -> np.ndarray:
+def text_ids(text: str | None, words: Words, end: int) -> np.ndarray:
     """A text's ids and the end id. Where the tokenizer takes no white space
     into its tokens, the words between spaces are encoded one by one."""
+    last = np.array([end], dtype="<u4").tobytes()
     if not text:
-        return np.array([end], dtype=np.uint32)
-    if by_word:
-        parts = filter(None, text.replace("\n", " ").split(" "))
-        return np.fromiter(chain(chain.from_iterable(map(words.__getitem__, parts)), (end,)), dtype=np.uint32)
-    return np.array([*words.tokenizer.encode(text, add_special_tokens=False).ids, end], dtype=np.uint32)
+        got = b""
+    elif words.quick(text):
+        got = words.by_part(text)
+    elif words.find:
+        got = b"".join([words[w] for w in text.replace("\n", " ").split(" ") if w])
+    else:
+        got = words.whole(text)
+    return np.frombuffer(got + last, dtype="<u4")
 
 
 # -- tables -------------------------------------------------------------------
@@ -163,7 +231,7 @@ def write(docs: DataFrame, model_path: str = MODEL_PATH, end: int = END, id_col:
     spark = docs.sparkSession
     with open(model_path, encoding="utf-8") as f:
         raw = f.read()
-    by_word = splits_at_spaces(json.loads(raw))
+    rule = word_rule(json.loads(raw))
     held, name = spark.sparkContext.broadcast(raw), hashlib.sha256(raw.encode()).hexdigest()      # a vocabulary file, of fixed size
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind, n = rows.schema["id"].dataType, max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -175,7 +243,7 @@ def write(docs: DataFrame, model_path: str = MODEL_PATH, end: int = END, id_col:
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words = on_worker(f"words {name}", lambda: Words(library_tokenizer(held.value)))
+        words = on_worker(f"words {name}", lambda: Words(library_tokenizer(held.value), *rule))
         shard, seq, first, no = TaskContext.get().partitionId(), 0, 0, 0
         parts, inside, size, id_type = [], [], 0, None
 
@@ -194,7 +262,7 @@ def write(docs: DataFrame, model_path: str = MODEL_PATH, end: int = END, id_col:
         for batch in batches:
             id_type = batch.schema.field(0).type
             for i in range(batch.num_rows):
-                ids = text_ids(batch.column(1)[i].as_py(), words, by_word, end)
+                ids = text_ids(batch.column(1)[i].as_py(), words, end)
                 if size and size + len(ids) > segment:
                     yield close()
                 pieces = -(-len(ids) // segment)
@@ -215,41 +283,59 @@ def write(docs: DataFrame, model_path: str = MODEL_PATH, end: int = END, id_col:
 def read(segments: DataFrame) -> DataFrame:
     """``id``, ``start`` (ids of all documents before), ``ids`` of every
     document in written segments."""
+    return _documents(segments, "ids array<int>", lambda ids, off: [pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids.view(np.int32)))], "ids")
+
+
+def checksums(segments: DataFrame) -> DataFrame:
+    """Like ``read``, but the number of ids and their checksum (CRC-32 of
+    little-endian unsigned 32-bit integers) in place of the ids."""
+    def crcs(ids: np.ndarray, off: np.ndarray) -> list[pa.Array]:
+        return [pa.array(np.diff(off)), pa.array([zlib.crc32(ids[a:b]) for a, b in zip(off[:-1], off[1:])], pa.int64())]
+
+    @arrow_udf(LongType())
+    def crc(ids: pa.Array) -> pa.Array:
+        return crcs(ids.values.to_numpy(zero_copy_only=False).view(np.uint32), ids.offsets.to_numpy())[1]
+
+    return _documents(segments, "n_tokens bigint, crc32 bigint", crcs, F.size("ids").cast("bigint"), crc("ids"))
+
+
+def _documents(segments: DataFrame, columns: str, shown, *of_split) -> DataFrame:
+    """Every document with ``columns``: by ``shown`` (ids of some documents
+    and their offsets -> Arrow columns) inside the task that unpacks it, by
+    the expressions ``of_split`` over ``ids`` if it lies in several segments."""
     kind = segments.schema["docs"].dataType.elementType["id"].dataType.simpleString()
     sizes = segments.groupBy("shard").agg(F.sum("n_ids").alias("total"))
     base = sizes.select("shard", (F.sum("total").over(Window.orderBy("shard")) - F.col("total")).alias("base"))      # one row per partition
 
-    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def unpacked(batches: Iterator[pa.RecordBatch], whole: bool):
         for batch in batches:
+            id_type = batch.schema.field("docs").type.value_type.field("id").type
             for row in batch.to_pylist():
-                docs = row["docs"]
-                sizes = np.array([d["n"] for d in docs], dtype=np.int64)
-                off = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                ids = unpack(row["data"])
-                start = [row["base"] + row["first"] + d["at"] for d in docs]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([d["id"] for d in docs], batch.schema.field("docs").type.value_type.field("id").type), pa.array([row["shard"]] * len(docs), pa.int32()),
-                     pa.array([d["no"] for d in docs], pa.int64()), pa.array([d["piece"] for d in docs], pa.int32()), pa.array([d["pieces"] for d in docs], pa.int32()),
-                     pa.array(start, pa.int64()), pa.ListArray.from_arrays(pa.array(off), pa.array(ids.view(np.int32)))],
-                    names=["id", "shard", "no", "piece", "pieces", "start", "ids"])
-
-    found = segments.join(F.broadcast(base), "shard").mapInArrow(decoded, f"id {kind}, shard int, no bigint, piece int, pieces int, start bigint, ids array<int>")
+                docs = [d for d in row["docs"] if (d["pieces"] == 1) == whole]
+                if docs:
+                    off, at = np.cumsum([0, *[d["n"] for d in docs]]), docs[0]["at"]         # one next to the other
+                    start = pa.array([row["base"] + row["first"] + d["at"] for d in docs], pa.int64())
+                    yield row["shard"], docs, pa.array([d["id"] for d in docs], id_type), start, unpack(row["data"], at, at + int(off[-1])), off
+
+    def complete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["id", "start", *[c.split()[0] for c in columns.split(", ")]]
+        for _, _, ids_of, start, ids, off in unpacked(batches, True):
+            yield pa.RecordBatch.from_arrays([ids_of, start, *shown(ids, off)], names=names)
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, docs, ids_of, start, ids, off in unpacked(batches, False):
+            lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids.view(np.int32)))
+            yield pa.RecordBatch.from_arrays([ids_of, start, pa.array([shard] * len(docs), pa.int32()), pa.array([d["no"] for d in docs], pa.int64()),
+                                              pa.array([d["piece"] for d in docs], pa.int32()), lists], names=["id", "start", "shard", "no", "piece", "ids"])
+
+    rows = segments.join(F.broadcast(base), "shard")
     # a document's pieces meet again: together they are one row, as its text was
-    split = (found.where("pieces > 1").groupBy("shard", "no")
-             .agg(F.first("id").alias("id"), F.min("start").alias("start"), F.sort_array(F.collect_list(F.struct("piece", "ids"))).alias("all"))
+    split = (rows.where(F.exists("docs", lambda d: d["pieces"] > 1)).mapInArrow(pieces, f"id {kind}, start bigint, shard int, no bigint, piece int, ids array<int>")
+             .groupBy("shard", "no").agg(F.first("id").alias("id"), F.min("start").alias("start"), F.sort_array(F.collect_list(F.struct("piece", "ids"))).alias("all"))
              .select("id", "start", F.flatten(F.col("all.ids")).alias("ids")))
-    return found.where("pieces = 1").select("id", "start", "ids").union(split)
-
-
-@arrow_udf(LongType())
-def ids_crc32(ids: pa.Array) -> pa.Array:
-    """Checksum of ids as little-endian unsigned 32-bit integers."""
-    import zlib
-
-    values, off = ids.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False), ids.offsets.to_numpy()
-    return pa.array([zlib.crc32(values[a:b]) for a, b in zip(off[:-1], off[1:])], pa.int64())
+    return rows.mapInArrow(complete, f"id {kind}, start bigint, {columns}").union(split.select("id", "start", *of_split))
 
 
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = read(write(table(spark, sf_dir, "documents")))
-    return done.select(F.col("id").alias("doc_id"), "start", F.size("ids").cast("bigint").alias("n_tokens"), ids_crc32("ids").alias("ids_crc32"))
+    done = checksums(write(table(spark, sf_dir, "documents")))
+    return done.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.col("crc32").alias("ids_crc32"))
