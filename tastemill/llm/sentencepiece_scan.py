@@ -441,7 +441,9 @@ def encode(docs: DataFrame, model_path: str = MODEL_PATH, text_col: str = "text"
             yield pa.ListArray.from_arrays(pa.array(off), pa.array(flat))
 
     short = docs.where(~giant).withColumn(out, whole.asNondeterministic()(F.col(text_col)))
-    large = docs.where(giant).withColumn("_uid", F.monotonically_increasing_id())
+    # written once: the texts that are split and the rows that get the ids must be numbered alike
+    whole_row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    large = materialize(docs.where(giant).select(whole_row, F.monotonically_increasing_id().alias("uid")), "giants")
     longest = max((len(n) for n in tables["pieces"]), default=1)
     chunk = max(chunk, 2 * longest)      # a piece reaches into the next chunk at most
 
@@ -467,7 +469,7 @@ def encode(docs: DataFrame, model_path: str = MODEL_PATH, text_col: str = "text"
         return pa.array([at.trace(a, b, c, (d, e), (f, g)) for a, b, c, d, e, f, g in zip(*[x.to_pylist() for x in (left, body, right, ea, ep, xa, xp)])],
                         type=pa.list_(pa.int32()))
 
-    parts = (large.select(F.col("_uid").alias("uid"), F.col(text_col).alias("text"))
+    parts = (large.select("uid", F.col(f"row.`{text_col}`").alias("text"))
              .mapInArrow(split, "uid bigint, chunk int, left string, body string, right string").repartition("uid", "chunk"))
     text_cols = [F.col("left"), F.col("body"), F.col("right")]
     chunks = materialize(parts.withColumn("matrix", matrices.asNondeterministic()(*text_cols)), "chunks")
@@ -475,8 +477,9 @@ def encode(docs: DataFrame, model_path: str = MODEL_PATH, text_col: str = "text"
     done = chunks.drop("matrix").join(states, ["uid", "chunk"]).withColumn(
         "part", traced.asNondeterministic()(*text_cols, *[F.col(c) for c in ("entry_at", "entry_piece", "exit_at", "exit_piece")]))
     whole_ids = done.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("chunk", "part"))).alias("parts"))
-    whole_ids = whole_ids.select(F.col("uid").alias("_uid"), F.flatten(F.col("parts.part")).alias(out))
-    return short.select(*docs.columns, out).unionByName(large.join(whole_ids, "_uid").select(*docs.columns, out))
+    whole_ids = whole_ids.select("uid", F.flatten(F.col("parts.part")).alias("found"))
+    joined = large.join(whole_ids, "uid").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != out], F.col("found").alias(out))
+    return short.select(*[f"`{c}`" for c in docs.columns if c != out], out).unionByName(joined)
 
 
 def decode(rows: DataFrame, model_path: str = MODEL_PATH, ids_col: str = "ids", out: str = "decoded") -> DataFrame:

@@ -73,3 +73,23 @@ def test_frame_with_giant_texts(spark):
         assert list(got[i]["ids"]) == lib.encode(t or "")
         assert got[i]["decoded"] == (t or "")
     assert S.encode(docs.limit(0)).count() == 0
+
+
+def test_giant_texts_of_one_file_keep_their_ids(spark, tmp_path):
+    """One file with one split, so that ``spread`` deals the rows anew."""
+    import random
+
+    import corpus_pipeline
+    from tastemill.llm.textbuf import spread
+    from tests.llm.util import prose
+
+    lib, rng = sp.SentencePieceProcessor(model_file=S.MODEL_PATH), random.Random(8)
+    rows = [(i, prose(rng, 12_000 if i % 3 == 0 else 20), "en", "s", 1, "u", "row") for i in range(48)]
+    assert sum(len(r[1]) > S.CHUNK for r in rows) == 16
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, uid string, row string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    want = {r[0]: lib.encode(r[1]) for r in rows}
+    got = S.encode(spread(docs)).collect()
+    assert {r["doc_id"]: list(r["ids"]) for r in got} == want and {r["uid"] for r in got} == {"u"} and {r["row"] for r in got} == {"row"}
+    done = corpus_pipeline.tokens(spark, docs, "").collect()
+    assert {r["doc_id"]: list(r["ids"]) for r in done} == want and all(r["round_trip"] for r in done)
