@@ -167,14 +167,14 @@ def _five_lists(spark, sf, fb):
     (user_id, item_id, rank, model, model_idx)."""
     from tastemill.operators import cf as C
     from tastemill.operators import clusters as K
-    from tastemill.operators import content as CT
+    from tastemill.operators import content_topn as CT
     from tastemill.operators import preference as PR
     from tastemill.plans import q_content as QC
     from tastemill.plans import q_models as QM
     from tastemill.plans import q_regression as QR
     from tastemill.session import materialize
     cat, inter = S.catalog(spark, sf), S.interactions(spark, sf)
-    feats = item_features(cat, QC.COLS)
+    feats, cols = QC.content_features(spark, sf)
     assigns = {m: d.select("item_id", F.col("cluster").cast("string").alias("cluster")) for m, d in QM._model_assigns(spark, sf).items()}
     ratings = C.override_user_rows(inter, fb)
     disliked = P.fully_disliked_genres(fb, cat)
@@ -184,7 +184,7 @@ def _five_lists(spark, sf, fb):
     train = PR.augment_training(PR.training_set(fb, pref, QR.PREF_COLS), QR.PREF_COLS, QR.SEED)
     _, kappa, gamma, b = PR.fit_preference(train, QR.PREF_COLS)
     lists = {
-        "content": CT.content_recommend(fb, feats, QC.COLS, P.feature_importance(fb, feats, QC.COLS), n=N, neighbours=QC.NEIGHBOURS),
+        "content": CT.content_topn(fb, feats, cols, P.feature_importance(fb, feats, cols), n=N),
         "clustering": K.cluster_recommend(fb.join(assigns["kmeans"].select("item_id"), "item_id", "left_semi"), assigns,
                                           {"kmeans": 0.4, "gmm": 0.3, "hierarchical": 0.3}, N),
         "pure_cf": C.als_topn(QM._als(spark, sf), inter.select("user_id"), inter, N),

@@ -374,18 +374,18 @@ def user_profile_mean(spark, sf):
                     *[r6(f"{k}_{c}").alias(f"{k}_{c}") for c in POLY for k in ("like", "dislike")])
 
 
-_fi_stack = " UNION ALL ".join(
-    f"SELECT user_id, n_like, n_dislike, '{c}' AS feature, v_{c} AS v, ml_{c} AS ml, md_{c} AS md FROM prof"
-    for c in POLY)
-_fi_aggs = ", ".join(f"var_pop(CASE WHEN fb.label = 1 THEN f.{c} END) AS v_{c}, "
+def importance_ctes(cols: list[str]) -> str:
+    """``importance(user_id, feature, weight)`` over ``feats`` as CTEs."""
+    stack = " UNION ALL ".join(
+        f"SELECT user_id, n_like, n_dislike, '{c}' AS feature, v_{c} AS v, ml_{c} AS ml, md_{c} AS md FROM imp_prof"
+        for c in cols)
+    aggs = ", ".join(f"var_pop(CASE WHEN fb.label = 1 THEN f.{c} END) AS v_{c}, "
                      f"avg(CASE WHEN fb.label = 1 THEN f.{c} END) AS ml_{c}, "
-                     f"avg(CASE WHEN fb.label = -1 THEN f.{c} END) AS md_{c}" for c in POLY)
-
-
-IMPORTANCE_CTES = f"""
-, imp_prof AS (SELECT fb.user_id, count_if(fb.label = 1) AS n_like, count_if(fb.label = -1) AS n_dislike, {_fi_aggs}
+                     f"avg(CASE WHEN fb.label = -1 THEN f.{c} END) AS md_{c}" for c in cols)
+    return f"""
+, imp_prof AS (SELECT fb.user_id, count_if(fb.label = 1) AS n_like, count_if(fb.label = -1) AS n_dislike, {aggs}
            FROM feedback fb JOIN feats f ON f.item_id = fb.item_id GROUP BY fb.user_id),
-imp_long AS ({_fi_stack.replace("FROM prof", "FROM imp_prof")}),
+imp_long AS ({stack}),
 imp_w0 AS (SELECT *, CASE WHEN n_like > 1 THEN 1.0 / (v + 0.1) ELSE 1.0 END AS w0 FROM imp_long),
 imp_w1 AS (SELECT *, CASE WHEN n_like > 1 THEN w0 / sum(w0) OVER (PARTITION BY user_id) ELSE w0 END AS w1 FROM imp_w0),
 imp_w2 AS (SELECT *, CASE WHEN n_dislike > 0 THEN w1 * abs(ml - md) ELSE w1 END AS w2 FROM imp_w1),
@@ -393,6 +393,9 @@ importance AS (SELECT user_id, feature,
        CASE WHEN n_dislike > 0 THEN coalesce(w2 / nullif(sum(w2) OVER (PARTITION BY user_id), 0), w1)
             ELSE w1 END AS weight
 FROM imp_w2)"""
+
+
+IMPORTANCE_CTES = importance_ctes(POLY)
 IMPORTANCE_RAW_SQL = I.with_(I.CATALOG, I.FEEDBACK, I.feats(POLY)) + IMPORTANCE_CTES + "\nSELECT * FROM importance"
 
 
