@@ -173,13 +173,13 @@ def _five_lists(spark, sf, fb):
     from tastemill.plans import q_models as QM
     from tastemill.plans import q_regression as QR
     from tastemill.session import materialize
-    cat, inter = S.catalog(spark, sf), S.interactions(spark, sf)
+    cat = S.catalog(spark, sf)
     feats, cols = QC.content_features(spark, sf)
     assigns = {m: d.select("item_id", F.col("cluster").cast("string").alias("cluster")) for m, d in QM._model_assigns(spark, sf).items()}
-    ratings = C.override_user_rows(inter, fb)
+    ratings = QM.mf_ratings(spark, sf, fb)      # the users' own rows are in before anything is scored
     disliked = P.fully_disliked_genres(fb, cat)
-    wide = C.als_topn(C.als_train(ratings, rank=QM.ALS_RANK, max_iter=QM.ALS_ITER, seed=QM.SEED), fb.select("user_id"),
-                      ratings.select("user_id", "item_id"), 3 * N, exclude_genres=disliked, catalog=cat)
+    factors = C.als_train(ratings, rank=QM.ALS_RANK, max_iter=QM.ALS_ITER, seed=QM.SEED)
+    wide = C.als_topn(factors, fb.select("user_id"), ratings, 3 * N, exclude_genres=disliked, catalog=cat)
     pref = item_features(cat, QR.PREF_COLS)
     train = PR.augment_training(PR.training_set(fb, pref, QR.PREF_COLS), QR.PREF_COLS, QR.SEED)
     _, kappa, gamma, b = PR.fit_preference(train, QR.PREF_COLS)
@@ -187,7 +187,7 @@ def _five_lists(spark, sf, fb):
         "content": CT.content_topn(fb, feats, cols, P.feature_importance(fb, feats, cols), n=N),
         "clustering": K.cluster_recommend(fb.join(assigns["kmeans"].select("item_id"), "item_id", "left_semi"), assigns,
                                           {"kmeans": 0.4, "gmm": 0.3, "hierarchical": 0.3}, N),
-        "pure_cf": C.als_topn(QM._als(spark, sf), inter.select("user_id"), inter, N),
+        "pure_cf": C.als_topn(factors, fb.select("user_id"), ratings, N),
         "matrix_factorization": E.genre_round_robin(wide, cat, P.liked_genres(fb, cat), disliked, N),
         "deep": PR.preference_recommend(fb, pref, QR.PREF_COLS, kappa, gamma, b, n=N),
     }

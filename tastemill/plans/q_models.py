@@ -254,20 +254,49 @@ def _als(spark, sf):
 
 @query("als_train")
 def als_train(spark, sf):
-    m = _als(spark, sf)
-    u = m.userFactors.agg(F.count(F.lit(1)).alias("n_users"))
-    i = m.itemFactors.agg(F.count(F.lit(1)).alias("n_items"))
-    return u.unionByName(i.withColumnRenamed("n_items", "n_users")).withColumnRenamed("n_users", "n_factors") \
-        .withColumn("rank", F.lit(m.rank))
+    u, i = _als(spark, sf)
+    size = F.first(F.size("x")).alias("rank")
+    return u.agg(F.count(F.lit(1)).alias("n_factors"), size).unionByName(i.agg(F.count(F.lit(1)).alias("n_factors"), size))
 
 
 @query("als_score")
 def als_score(spark, sf):
     """Dot product of user and item factors for the observed pairs."""
-    m = _als(spark, sf)
-    inter = S.interactions(spark, sf).select(F.col("user_id").cast("int").alias("user_id"),
-                                             F.col("item_id").cast("int").alias("item_id"))
-    return m.transform(inter).select("user_id", "item_id", F.col("prediction").alias("score"))
+    return C.als_score(_als(spark, sf), S.interactions(spark, sf))
+
+
+# the stored 64-dimension vectors stand for fitted factors of both sides
+_FACTORS = I.with_(I.VECTORS, I.INTERACTIONS)
+
+
+def _stored_factors(spark, sf):
+    v = _vec(spark, sf)
+    return v.select(F.col("item_id").alias("user_id"), F.col("features").alias("x")), v.select("item_id", F.col("features").alias("x"), F.col("genre").cast("string").alias("genre"))
+
+
+@query("als_score_fixed", _FACTORS + """
+SELECT i.user_id, i.item_id, round(list_dot_product(u.features, v.features), 6) + 0.0 AS score
+FROM interactions i JOIN vectors u ON u.item_id = i.user_id JOIN vectors v ON v.item_id = i.item_id""")
+def als_score_fixed(spark, sf):
+    """Scores of the observed pairs on stored factors."""
+    u, i = _stored_factors(spark, sf)
+    return C.als_score((u, i.drop("genre")), S.interactions(spark, sf)).withColumn("score", r6("score"))
+
+
+@query("cf_topn_fixed", _FACTORS + f"""
+SELECT user_id, item_id, score, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT user_id, item_id, score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM (
+    SELECT u.item_id AS user_id, v.item_id, round(list_dot_product(u.features, v.features), 6) + 0.0 AS score
+    FROM vectors u CROSS JOIN vectors v
+    WHERE v.genre <> u.genre AND NOT EXISTS (SELECT 1 FROM interactions i WHERE i.user_id = u.item_id AND i.item_id = v.item_id)) s) r
+WHERE rank <= {N}""")
+def cf_topn_fixed(spark, sf):
+    """Top-n on stored factors without the pairs that interacted and without
+    the genre of the user's own vector."""
+    from tastemill.operators.mips import max_inner_product
+    u, i = _stored_factors(spark, sf)
+    own = i.select(F.col("item_id").alias("user_id"), "genre")
+    return max_inner_product(u, i, N, S.interactions(spark, sf), own)
 
 
 @query("cf_recommend")
@@ -277,21 +306,37 @@ def cf_recommend(spark, sf):
     return C.als_topn(_als(spark, sf), inter.select("user_id"), inter, N)
 
 
+def mf_ratings(spark, sf, fb):
+    """Interactions, with the pairs that have feedback rated by it."""
+    return C.override_user_rows(S.interactions(spark, sf), fb, whole_rows=False)
+
+
 @query("mf_recommend")
 def mf_recommend(spark, sf):
-    """Genre-aware CF: customers' feedback overrides their rows, ALS masks
-    rated items and fully disliked genres, takes 3n, then deals one item
-    per genre per turn."""
+    """Genre-aware CF: feedback overrides the interactions of its pairs, ALS
+    masks rated items and fully disliked genres, takes 3n, then deals one
+    item per genre per turn."""
     fb = S.feedback(spark, sf)
     cat = S.catalog(spark, sf)
-    ratings = C.override_user_rows(S.interactions(spark, sf), fb)
+    ratings = mf_ratings(spark, sf, fb)
     m = C.als_train(ratings, rank=ALS_RANK, max_iter=ALS_ITER, seed=SEED)
     fd = P.fully_disliked_genres(fb, cat)
-    rated = ratings.select("user_id", "item_id")
-    cands = C.als_topn(m, fb.select("user_id"), rated, 3 * N, exclude_genres=fd, catalog=cat)
+    cands = C.als_topn(m, fb.select("user_id"), ratings, 3 * N, exclude_genres=fd, catalog=cat)
     return E.genre_round_robin(cands, cat, P.liked_genres(fb, cat), fd, N)
 
 
+@query("mf_ratings", I.with_(I.INTERACTIONS, I.FEEDBACK) + f"""
+SELECT user_id, item_id, round(rating, 6) AS rating, 'interactions' AS source FROM interactions i
+WHERE NOT EXISTS (SELECT 1 FROM feedback f WHERE f.user_id = i.user_id AND f.item_id = i.item_id)
+UNION ALL
+SELECT user_id, item_id, CAST(CASE WHEN label = 1 THEN {C.LIKE_RATING} ELSE {C.DISLIKE_RATING} END AS DOUBLE), 'feedback'
+FROM feedback WHERE label <> 0""")
+def mf_ratings_query(spark, sf):
+    """Both sources of the factor model."""
+    o = mf_ratings(spark, sf, S.feedback(spark, sf))
+    return o.select("user_id", "item_id", r6("rating").alias("rating"), "source")
+
+
 _FRR_SQL = I.with_(I.CATALOG, I.FEEDBACK) + f"""
 , lg AS (SELECT DISTINCT fb.user_id, c.genre FROM feedback fb JOIN catalog c ON c.item_id = fb.item_id WHERE fb.label = 1),
 dg AS (SELECT DISTINCT fb.user_id, c.genre FROM feedback fb JOIN catalog c ON c.item_id = fb.item_id WHERE fb.label = -1),
