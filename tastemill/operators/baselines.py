@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tastemill.operators.selection import quantiles
 from tastemill.functions.core import dense_positions, hash_key, r6, top_n
 from tastemill.operators.knn import grid_topn
 from tastemill.operators.profiles import liked_genres, user_profile_mean
@@ -111,10 +112,10 @@ def genre_based_recommend(feedback: DataFrame, catalog: DataFrame, n: int = 15,
 def popularity_threshold(catalog: DataFrame, col: str, q: float = 0.8,
                          relative_error: float | None = None) -> float:
     """Value of ``col`` at quantile ``q`` (linear interpolation, exact by
-    default; ``relative_error`` switches to percentile_approx)."""
-    e = (F.percentile(col, q) if relative_error is None
-         else F.percentile_approx(col, q, int(1 / relative_error)))
-    return catalog.agg(e.cast("double").alias("t")).first()["t"]
+    distributed selection; ``relative_error`` switches to percentile_approx)."""
+    if relative_error is None:
+        return quantiles(catalog, [col], q)[col]
+    return catalog.agg(F.percentile_approx(col, q, int(1 / relative_error)).cast("double").alias("t")).first()["t"]
 
 
 def popularity_recommend(feedback: DataFrame, catalog: DataFrame, pop_col: str,

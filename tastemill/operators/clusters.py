@@ -119,50 +119,92 @@ def _group_positions(assign_wide: DataFrame, keys: list[str]) -> DataFrame:
     return dense_positions(assign_wide, ["item_id"], "pos", keys)
 
 
+COMBOS = 1_000_000          # cluster combinations that all tasks get at most
+
+
+def best_combos(scored: DataFrame, rated: DataFrame, combos: DataFrame, methods: list[str], n: int) -> DataFrame:
+    """``user_id``, ``combo``, ``score``, ``depth``: a user's combinations from
+    the best sum down to the one with which ``n`` + rated items are reached,
+    ties of that sum included. ``scored`` (``user_id``, ``method``,
+    ``cluster``, ``s``) is one row per liked cluster, so a user's list is
+    bounded by the number of clusters."""
+    import numpy as np
+    import pandas as pd
+
+    spark = scored.sparkSession
+    rows = combos.orderBy("combo").toPandas()               # checked size
+    codes, names = [], []
+    for m in methods:
+        code, name = pd.factorize(rows[f"c_{m}"])
+        codes.append(code)
+        names.append({v: i for i, v in enumerate(name)})
+    held = spark.sparkContext.broadcast((rows["combo"].to_numpy(), rows["size"].to_numpy(), codes, names))
+    lists = scored.groupBy("user_id").agg(F.collect_list(F.struct("method", "cluster", "s")).alias("liked")).join(rated, "user_id")
+    kind = lists.schema["user_id"].dataType.simpleString()
+
+    def walk(batches):
+        combo, size, code, name = held.value
+        for frame in batches:
+            out = []
+            for user, liked, n_rated in zip(frame["user_id"], frame["liked"], frame["n_rated"]):
+                part = [np.zeros(len(x)) for x in name]
+                for one in liked:
+                    at = name[one["method"]].get(one["cluster"])
+                    if at is not None:
+                        part[one["method"]][at] = one["s"]
+                total = np.zeros(len(combo))
+                for p, c in zip(part, code):
+                    total = total + p[c]
+                some = np.flatnonzero(total > 0)
+                some = some[np.argsort(-total[some], kind="stable")]
+                shown, need = np.floor(total[some] * 1e6 + 0.5), n + n_rated
+                enough = np.searchsorted(np.cumsum(size[some]), need)
+                if enough < len(some):
+                    some = some[shown >= shown[enough]]
+                out.append(pd.DataFrame({"user_id": user, "combo": combo[some], "score": total[some], "depth": np.minimum(size[some], need)}))
+            if out:
+                yield pd.concat(out, ignore_index=True)
+
+    return lists.select("user_id", "liked", "n_rated").mapInPandas(walk, f"user_id {kind}, combo bigint, score double, depth int")
+
+
 def cluster_recommend(feedback: DataFrame, assigns: dict[str, DataFrame], weights: dict[str, float],
-                      n: int) -> DataFrame:
+                      n: int, users: DataFrame | None = None) -> DataFrame:
     """Blend of per-method cluster scores: score(item) = Σ w_m · s_m(cluster_m(item)).
 
-    Items with the same cluster combination share a score, so for each
-    user and each scored combination only the first ``n + rated`` items by
-    id can matter; combinations with no scored part score 0 and fill the
-    list by item id. Rated items are excluded (anti join).
-    Returns (user_id, item_id, score, rank).
+    Items with the same cluster combination share a score, and a user's best
+    sums are walked down only until ``n`` + rated items are reached; of each
+    such combination the first ``n`` + rated items by id can matter.
+    Combinations with no scored part score 0 and fill the list by item id,
+    also for users (of ``users``) without any feedback on these items. Rated
+    items are excluded (anti join). Returns (user_id, item_id, score, rank).
     """
     from tastemill.session import materialize
     methods = list(assigns)
     wide = None
     for m in methods:
-        a = assigns[m].select("item_id", F.col("cluster").alias(f"c_{m}"))
+        a = assigns[m].select("item_id", F.col("cluster").cast("string").alias(f"c_{m}"))
         wide = a if wide is None else wide.join(a, "item_id")
     wide = materialize(wide, "cluster-assign")          # items-sized; every later step reads it
     keys = [f"c_{m}" for m in methods]
-    pos = _group_positions(wide, keys)
-    combos = wide.select(*keys).distinct()
+    combos = wide.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("size"))
+    combos = materialize(combos.withColumn("combo", F.monotonically_increasing_id()), "combos")
+    if combos.count() > COMBOS:
+        raise ValueError(f"over {COMBOS} cluster combinations; use fewer clusters")
+    of_item = wide.join(combos.drop("size"), keys).select("item_id", "combo")
+    pos = _group_positions(of_item, ["combo"])
     fb = feedback.select("user_id", "item_id", "label").persist()
-    rated = fb.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_rated"))
-    sc = {m: materialize(cluster_scores(fb, wide.select("item_id", F.col(f"c_{m}").alias("cluster")))
-                         .select("user_id", F.col("cluster").alias(f"c_{m}"),
-                                 (F.col("score") * weights[m]).alias(f"s_{m}")), "cluster-scores")
-          for m in methods}
+    who = fb.select("user_id") if users is None else users.select("user_id").unionByName(fb.select("user_id"))
+    counts = fb.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_rated"))
+    rated = materialize(who.distinct().join(counts, "user_id", "left").fillna(0, ["n_rated"]), "rated-counts")
     scored = None
-    for m in methods:
-        # combinations that contain a scored cluster of method m
-        part = sc[m].join(combos, f"c_{m}").select("user_id", *keys)
-        scored = part if scored is None else scored.unionByName(part)
-    scored = scored.distinct()
-    for m in methods:
-        scored = scored.join(sc[m], ["user_id", f"c_{m}"], "left")
-    total = None
-    for m in methods:
-        t = F.coalesce(F.col(f"s_{m}"), F.lit(0.0))
-        total = t if total is None else total + t
-    scored = scored.withColumn("score", total).join(rated, "user_id")
-    # never more positions than the combination holds (most hold one item)
-    sizes = pos.groupBy(*keys).agg(F.max("pos").alias("size"))
-    depth = F.least(F.lit(n) + F.col("n_rated"), F.col("size")).cast("int")
-    wants = scored.join(sizes, keys).withColumn("pos", F.explode(F.sequence(F.lit(1), depth)))
-    cand = wants.join(pos, keys + ["pos"]).select("user_id", "item_id", "score")
+    for i, m in enumerate(methods):
+        sc = cluster_scores(fb, wide.select("item_id", F.col(f"c_{m}").alias("cluster")))
+        sc = sc.select("user_id", F.lit(i).alias("method"), "cluster", (F.col("score") * weights[m]).alias("s"))
+        scored = sc if scored is None else scored.unionByName(sc)
+    picked = best_combos(scored, rated, combos, methods, n)
+    wants = picked.withColumn("pos", F.explode(F.sequence(F.lit(1), F.col("depth"))))
+    cand = wants.join(pos, ["combo", "pos"]).select("user_id", "item_id", "score")
     # zero-score fill: the first 2(n + rated) items by id cover any shortfall
     gpos = dense_positions(wide.select("item_id"), ["item_id"]).withColumn("g", F.lit(0))
     fill_w = rated.withColumn("g", F.lit(0)).withColumn(

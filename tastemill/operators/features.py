@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tastemill.functions.core import placed_in_order, safe_div
+from tastemill.operators.selection import quantiles
 
 
 # ---------------------------------------------------------------- hygiene
@@ -62,15 +63,18 @@ def dedupe_ids(df: DataFrame, key: str, pos: str) -> DataFrame:
 # ------------------------------------------------------------ imputation
 def column_stats(df: DataFrame, cols: list[str], stats: list[str],
                  relative_error: float | None = None) -> dict:
-    """{(stat, col): value} from one aggregate. ``median`` is exact unless
-    ``relative_error`` is given (then ``percentile_approx``, bounded memory
-    for very large inputs)."""
+    """{(stat, col): value} from one aggregate. ``median`` is exact, by
+    distributed selection, unless ``relative_error`` is given (then
+    ``percentile_approx``)."""
+    if "median" in stats and relative_error is None:
+        rest = [s for s in stats if s != "median"]
+        found = column_stats(df, cols, rest) if rest else {}
+        return found | {("median", c): v for c, v in quantiles(df, cols, 0.5).items()}
     aggs = []
     for c in cols:
         for s in stats:
             if s == "median":
-                e = (F.median(c) if relative_error is None
-                     else F.percentile_approx(c, 0.5, int(1 / relative_error)))
+                e = F.percentile_approx(c, 0.5, int(1 / relative_error))
             elif s == "mean":
                 e = F.avg(c)
             elif s == "std_pop":

@@ -186,7 +186,7 @@ def _five_lists(spark, sf, fb):
     lists = {
         "content": CT.content_topn(fb, feats, cols, P.feature_importance(fb, feats, cols), n=N),
         "clustering": K.cluster_recommend(fb.join(assigns["kmeans"].select("item_id"), "item_id", "left_semi"), assigns,
-                                          {"kmeans": 0.4, "gmm": 0.3, "hierarchical": 0.3}, N),
+                                          {"kmeans": 0.4, "gmm": 0.3, "hierarchical": 0.3}, N, fb),
         "pure_cf": C.als_topn(factors, fb.select("user_id"), ratings, N),
         "matrix_factorization": E.genre_round_robin(wide, cat, P.liked_genres(fb, cat), disliked, N),
         "deep": PR.preference_recommend(fb, pref, QR.PREF_COLS, kappa, gamma, b, n=N),

@@ -91,7 +91,7 @@ per AS (SELECT f.user_id, v.genre AS cluster, count_if(f.label = 1) AS n_like, c
 sc AS (SELECT user_id, cluster, n_like / sum(n_like) OVER (PARTITION BY user_id) AS score FROM per),
 ok AS (SELECT s.user_id, s.cluster, s.score FROM sc s JOIN per p ON p.user_id = s.user_id AND p.cluster = s.cluster
        WHERE p.n_dis = 0 AND p.n_like > 0),
-users AS (SELECT DISTINCT user_id FROM fb),
+users AS (SELECT DISTINCT user_id FROM feedback),
 cand AS (SELECT u.user_id, v.item_id, coalesce(ok.score, 0.0) AS score
          FROM users u CROSS JOIN vectors v LEFT JOIN ok ON ok.user_id = u.user_id AND ok.cluster = v.genre
          WHERE NOT EXISTS (SELECT 1 FROM fb x WHERE x.user_id = u.user_id AND x.item_id = v.item_id))
@@ -106,7 +106,7 @@ def cluster_affinity(spark, sf):
     (fixed assignment: the vector label)."""
     v = _vec(spark, sf)
     return K.cluster_recommend(_fb_vec(spark, sf), {"label": v.select("item_id", F.col("genre").alias("cluster"))},
-                               {"label": 1.0}, N)
+                               {"label": 1.0}, N, S.feedback(spark, sf))
 
 
 _BLEND_W = {"label": 0.4, "genre": 0.3, "brand": 0.3}
@@ -125,7 +125,7 @@ fb AS (SELECT f.* FROM feedback f WHERE f.item_id IN (SELECT item_id FROM items)
 {_scored('label', 'i.c_label')},
 {_scored('genre', 'i.c_genre')},
 {_scored('brand', 'i.c_brand')},
-users AS (SELECT DISTINCT user_id FROM fb),
+users AS (SELECT DISTINCT user_id FROM feedback),
 cand AS (SELECT u.user_id, i.item_id,
            {_BLEND_W['label']} * coalesce(CASE WHEN a.n_dis = 0 AND a.n_like > 0 THEN a.score END, 0.0)
          + {_BLEND_W['genre']} * coalesce(CASE WHEN b.n_dis = 0 AND b.n_like > 0 THEN b.score END, 0.0)
@@ -153,7 +153,7 @@ def cluster_blend_fixed(spark, sf):
     """0.4 / 0.3 / 0.3 blend over three fixed assignments (label, type, brand)."""
     a = _fixed_assigns(spark, sf)
     fb = S.feedback(spark, sf).join(a["genre"].select("item_id"), "item_id", "left_semi")
-    return K.cluster_recommend(fb, a, _BLEND_W, N)
+    return K.cluster_recommend(fb, a, _BLEND_W, N, S.feedback(spark, sf))
 
 
 SVD_DIM = 20
@@ -198,7 +198,7 @@ def hierarchical_assign(spark, sf):
 @query("cluster_blend_recommend")
 def cluster_blend_recommend(spark, sf):
     a = {m: d.select("item_id", F.col("cluster").cast("string").alias("cluster")) for m, d in _model_assigns(spark, sf).items()}
-    return K.cluster_recommend(_fb_vec(spark, sf), a, {"kmeans": 0.4, "gmm": 0.3, "hierarchical": 0.3}, N)
+    return K.cluster_recommend(_fb_vec(spark, sf), a, {"kmeans": 0.4, "gmm": 0.3, "hierarchical": 0.3}, N, S.feedback(spark, sf))
 
 
 # ------------------------------------------------------------------ interactions / CF
