@@ -142,9 +142,13 @@ def _distinct_hits(lc: DataFrame, words: list[str], name: str) -> DataFrame:
             .groupBy("doc_id").agg(F.countDistinct("w").alias(name)))
 
 
+SOMEWHERE = (5, 10, 15, 16, 20)      # rules that ask for something to occur in the text
+
+
 def rule_results(texts: DataFrame) -> DataFrame:
     """Wide table: one row per text, one boolean column ``r<id>`` per
-    checked rule."""
+    checked rule. A text without lines (null or blank) keeps its row: what
+    every line or stanza must do holds, what must occur somewhere doesn't."""
     lc = line_checks(split_lines(texts))
     per_line = lc.groupBy("doc_id", "author").agg(
         F.bool_and("r2").alias("r2"), F.bool_and("r4").alias("r4"), F.bool_and("r6").alias("r6"),
@@ -168,7 +172,9 @@ def rule_results(texts: DataFrame) -> DataFrame:
          .withColumn("r17", F.col("_s") & (F.coalesce("n_seasons", F.lit(0)) >= F.col("n_stanzas")))
          .withColumn("r20", F.coalesce(F.try_element_at("_last_words", F.lit(-1)) == F.lit("fin"), F.lit(False))))
     checked = [r for r, _, _ in RULES if r not in NOT_CHECKED]
-    return j.select("doc_id", "author", "n_stanzas", *[F.col(f"r{r}") for r in checked])
+    whole = texts.select("doc_id", "author").distinct().join(j.drop("author"), "doc_id", "left")
+    return whole.select("doc_id", "author", F.coalesce("n_stanzas", F.lit(0)).cast("bigint").alias("n_stanzas"),
+                        *[F.coalesce(f"r{r}", F.lit(r not in SOMEWHERE)).alias(f"r{r}") for r in checked])
 
 
 def broken_rules(results: DataFrame) -> DataFrame:

@@ -69,12 +69,15 @@ da AS (SELECT doc_id, count(DISTINCT w) AS n_animals FROM (
 ds AS (SELECT doc_id, count(DISTINCT w) AS n_seasons FROM (
          SELECT doc_id, unnest(list_filter(words, lambda w: list_contains({_list(U.SEASONS)}, w))) AS w FROM lc) a
        GROUP BY doc_id),
-res AS (SELECT pl.doc_id, pl.author, st.n_stanzas, r2, r3, r4, r5, r6,
+found AS (SELECT pl.doc_id, st.n_stanzas, r2, r3, r4, r5, r6,
                a_ok AND coalesce(n_animals, 0) >= n_stanzas AS r7, r8, r9, r10, r11, r13, r15, r16,
                s_ok AND coalesce(n_seasons, 0) >= n_stanzas AS r17, r18, r19,
                coalesce(last_words[-1] = 'fin', false) AS r20
         FROM pl JOIN st ON st.doc_id = pl.doc_id LEFT JOIN da ON da.doc_id = pl.doc_id
         LEFT JOIN ds ON ds.doc_id = pl.doc_id),
+res AS (SELECT d.doc_id, d.author, coalesce(n_stanzas, 0) AS n_stanzas,
+               {", ".join(f"coalesce(r{r}, {str(r not in U.SOMEWHERE).lower()}) AS r{r}" for r in CHECKED)}
+        FROM (SELECT DISTINCT doc_id, source AS author FROM documents) d LEFT JOIN found ON found.doc_id = d.doc_id),
 br AS (SELECT doc_id, author, list_filter([{", ".join(f"CASE WHEN NOT r{r} THEN {r} END" for r in CHECKED)}],
                                           lambda x: x IS NOT NULL) AS broken FROM res)"""
 
@@ -92,11 +95,14 @@ def _flags(df, rs):
 
 
 @query("split_lines_stanzas", f"""WITH {RULE_CTE}
-SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(DISTINCT stanza) AS BIGINT) AS n_stanzas
-FROM lines GROUP BY doc_id""")
+SELECT d.doc_id, CAST(count(l.line_no) AS BIGINT) AS n_lines, CAST(count(DISTINCT l.stanza) AS BIGINT) AS n_stanzas
+FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN lines l ON l.doc_id = d.doc_id GROUP BY d.doc_id""")
 def split_lines_stanzas(spark, sf):
-    li = U.split_lines(S.rule_texts(spark, sf))
-    return li.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.countDistinct("stanza").alias("n_stanzas"))
+    """Lines and stanzas per text; a null or blank text has none of either."""
+    texts = S.rule_texts(spark, sf)
+    li = U.split_lines(texts)
+    n = li.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.countDistinct("stanza").alias("n_stanzas"))
+    return texts.select("doc_id").distinct().join(n, "doc_id", "left").fillna(0, ["n_lines", "n_stanzas"])
 
 
 @query("rule_line_checks", f"WITH {RULE_CTE} SELECT doc_id, {_flags_sql(LINE_R)} FROM res")
