@@ -41,6 +41,7 @@ from tastemill.session import materialize
 A_PATH, B_PATH = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 HOT = 50_000                         # pairs in the array that all tasks get, at most
+MEMO = 400_000                       # remembered parts of words per Python worker
 BYTES, BIG = 4 << 20, 1 << 12        # signs aligned at a time (or one text); links of a group that is counted by distinct ids
 ID = (1 << 20) - 1
 A_PARTS = f"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^\\s{LETTERS}{DIGITS}]+|\\s+(?!\\S)|\\s+"      # A's own pattern, for plain texts
@@ -95,7 +96,7 @@ class Aligner:
         a_of, b_of = a_bytes(a), b_bytes(self.b)
         self.a_of, self.b_of = joined(a_of), joined(b_of)
         self.same = identity_map(a_of, b_of)
-        self.words = Words(a, A_PARTS, False)
+        self.words = Words(a, A_PARTS, False, MEMO)
         self.words.special = []
         self.shown = [b"%d%s" % (i, mark) for i in range(max(len(a_of), len(b_of))) for mark in (b",", b"|", b";")]
 

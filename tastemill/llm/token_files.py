@@ -142,9 +142,9 @@ class Parts(dict):
     """Part of a word -> its ids as little-endian bytes by the library's
     model, the first ones met held up to a bound."""
 
-    def __init__(self, model):
+    def __init__(self, model, limit: int):
         super().__init__()
-        self.tokenize, self.sign = model.tokenize, {b: c for c, b in byte_of_char().items()}
+        self.limit, self.tokenize, self.sign = limit, model.tokenize, {b: c for c, b in byte_of_char().items()}
         self.blank = {b: self.sign[b] for b in b" \n"}          # the signs of plain texts that don't stand for themselves
 
     def __missing__(self, part: str) -> bytes:
@@ -155,7 +155,7 @@ class Parts(dict):
         else:
             part_ = part.translate(self.blank)
         got = array("I", [t.id for t in self.tokenize(part_)]).tobytes()
-        if len(part) <= 64 and len(self) < MEMO_PARTS:
+        if len(part) <= 64 and len(self) < self.limit:
             self[part] = got
         return got
 
@@ -166,9 +166,9 @@ class Words(dict):
     the tokenizer's own pattern, and the library's model encodes each part;
     any other word goes through the library's whole encoding."""
 
-    def __init__(self, tokenizer, pattern: str | None, lower: bool):
+    def __init__(self, tokenizer, pattern: str | None, lower: bool, parts: int = MEMO_PARTS):
         super().__init__()
-        self.tokenizer, self.lower, self.parts = tokenizer, lower, Parts(tokenizer.model)
+        self.tokenizer, self.lower, self.parts = tokenizer, lower, Parts(tokenizer.model, parts)
         self.find = re.compile(pattern).findall if pattern else None
         self.plain = re.compile("[ -~À-ÿ\n]*").fullmatch
         self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
