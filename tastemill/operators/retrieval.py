@@ -1,19 +1,20 @@
 """TF-IDF retrieval over a document table.
 
 Weights: tf · (ln((1+N)/(1+df)) + 1), L2-normalised per document (the
-smoothed idf of the common vectoriser default). Retrieval is an
-equi-join on the term (posting lists), one partial aggregate of the dot
-products per (query, doc), and a per-query top-n window.
+smoothed idf of the common vectoriser default). Postings lie in impact
+bands per term; a query reads only the bands that can lift a document over
+a score that ``n`` documents are known to reach.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tastemill.functions.core import r6  # noqa: F811
 
 from tastemill.functions.core import top_n
+from tastemill.session import materialize
 
 # ---- fixed values --------------------------------------------------------
 # word tokens of two or more letters, digits or underscores (Unicode-aware)
@@ -21,6 +22,14 @@ TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 NO_CONTEXT = "No relevant context found."
 # --------------------------------------------------------------------------
 
+BANDS = 4           # impact bands per halving of the weight
+SEEDS = 64          # best postings of a term that set a query's bar
+SLACK = 2e-6        # of a score: results are ranked by six decimals
+
+
+def smooth_idf(n_docs: int, df: Column) -> Column:
+    return F.log((1.0 + n_docs) / (1.0 + df)) + 1.0
+
 
 def tokenize(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """(id, term) per token occurrence, lower-cased, whole text."""
@@ -34,7 +43,7 @@ def tfidf_weights(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, D
     tf = tok.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
     n_docs = docs.select(id_col).distinct().count()
     idf = (tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-           .select("term", (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0).alias("idf")))
+           .select("term", smooth_idf(n_docs, F.col("df")).alias("idf")))
     raw = tf.join(idf, "term").withColumn("raw", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(id_col)))
     return raw.select(id_col, "term", (F.col("raw") / norm).alias("weight")), idf
@@ -48,15 +57,76 @@ def query_weights(queries: DataFrame, idf: DataFrame, id_col: str = "query_id")
     return raw.select(id_col, "term", (F.col("raw") / norm).alias("weight"))
 
 
+def bands(postings: DataFrame) -> DataFrame:
+    """Adds ``band``, the impact block of a posting: band 0 holds the weights
+    in (2^-1/4, 1], every next one those lower by a factor of 2^-1/4."""
+    return postings.withColumn("band", F.greatest(F.floor(-BANDS * F.log2("weight")), F.lit(0)).cast("int"))
+
+
+def exact_scores(pairs: DataFrame, qw: DataFrame, postings: DataFrame, qid: str, did: str) -> DataFrame:
+    """Whole dot products of the given (query, doc) pairs."""
+    wanted = pairs.join(qw.select(qid, "term", F.col("weight").alias("qw")), qid)
+    return (wanted.join(postings.select(did, "term", "weight"), [did, "term"])
+            .groupBy(qid, did).agg(F.sum(F.col("qw") * F.col("weight")).alias("score")))
+
+
+def reading_plan(qw: DataFrame, stats: DataFrame, reached: DataFrame, qid: str) -> DataFrame:
+    """(query, term, least): the postings of a term that a query has to read,
+    those of at least the weight ``least``.
+
+    ``reached`` (query, bar) is a score that ``n`` documents reach. A term
+    adds at most its query weight times its greatest weight. The most common
+    terms that together stay below the bar are not read at all; of the others,
+    a document above the bar has one whose weight is at least the same
+    share of its maximum as the rest of the bar is of their maxima."""
+    t = qw.join(stats, "term").withColumn("most", F.col("weight") * F.col("top"))
+    t = t.join(reached, qid, "left").withColumn("bar", F.coalesce("bar", F.lit(0.0)) - SLACK)
+    common_first = Window.partitionBy(qid).orderBy(F.col("df").desc(), "term")
+    t = t.withColumn("upto", F.sum("most").over(common_first)).withColumn("read", F.col("upto") >= F.col("bar"))
+    whole = Window.partitionBy(qid)
+    left_out = F.sum(F.when(~F.col("read"), F.col("most")).otherwise(0.0)).over(whole)
+    of_read = F.sum(F.when(F.col("read"), F.col("most")).otherwise(0.0)).over(whole)
+    t = t.withColumn("share", F.greatest((F.col("bar") - left_out) / of_read, F.lit(0.0)))
+    return t.where("read").select(qid, "term", (F.col("top") * F.col("share") * (1 - 1e-12)).alias("least"), "top", "low")
+
+
+def candidates(plan: DataFrame, postings: DataFrame, qid: str, did: str) -> DataFrame:
+    """(query, doc) of all postings that the plan reads: an equi-join on (term,
+    impact band), so bands below a query's bound are not touched."""
+    first = F.greatest(F.floor(-BANDS * F.log2("top")) - 1, F.lit(0)).cast("int")
+    last = F.floor(-BANDS * F.log2(F.greatest("least", "low"))).cast("int") + 1
+    asked = plan.select(qid, "term", "least", F.explode(F.sequence(first, F.greatest(last, first))).alias("band"))
+    hit = asked.join(postings, ["term", "band"]).where(F.col("weight") >= F.col("least"))
+    return hit.select(qid, did).distinct()
+
+
 def retrieve_topn(queries: DataFrame, docs: DataFrame, n: int = 2,
                   qid: str = "query_id", did: str = "doc_id") -> DataFrame:
-    """(query, doc, score, rank): cosine > 0, best ``n`` per query, ties by doc id."""
-    dw, idf = tfidf_weights(docs, did)
-    qw = query_weights(queries, idf, qid)
-    dots = (qw.join(dw.withColumnRenamed("weight", "dw"), "term")
-            .groupBy(qid, did).agg(F.sum(F.col("weight") * F.col("dw")).alias("score"))
-            .filter(F.col("score") > 0))
-    out = top_n(dots, [qid], [r6("score").desc(), F.col(did)], n)
+    """(query, doc, score, rank): cosine > 0, best ``n`` per query, ties by doc id.
+
+    Exact without pairing a query with all documents of its terms: the best
+    ``SEEDS`` postings of each query term give ``n`` documents whose whole
+    scores set a bar; only postings that can lift a document over it are
+    read (``reading_plan``), and their documents are scored in full. Postings
+    are joined by impact band, and a term that is in every document is read
+    only where it can decide. Nulls and texts without terms match nothing."""
+    weights, _ = tfidf_weights(docs, did)
+    n_docs = docs.select(did).distinct().count()
+    terms = materialize(tokenize(queries, qid).select("term").distinct(), "query-terms")
+    postings = materialize(bands(weights.join(terms, "term", "left_semi")), "postings")
+    stats = materialize(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("weight").alias("top"), F.min("weight").alias("low")), "term-stats")
+    qw = materialize(query_weights(queries, stats.select("term", smooth_idf(n_docs, F.col("df")).alias("idf")), qid), "query-weights")
+
+    seeds = top_n(postings.select("term", did, "weight"), ["term"], [F.col("weight").desc(), F.col(did)], max(SEEDS, n))
+    part = (qw.select(qid, "term", F.col("weight").alias("qw")).join(seeds, "term")
+            .groupBy(qid, did).agg(F.sum(F.col("qw") * F.col("weight")).alias("part")))
+    firm = top_n(part, [qid], [F.col("part").desc(), F.col(did)], 4 * n).select(qid, did)
+    sure = top_n(exact_scores(firm, qw, postings, qid, did), [qid], [F.col("score").desc(), F.col(did)], n)
+    reached = sure.where(F.col("rank") == n).select(qid, F.col("score").alias("bar"))
+
+    plan = materialize(reading_plan(qw, stats, reached, qid), "reading-plan")
+    dots = exact_scores(candidates(plan, postings, qid, did), qw, postings, qid, did)
+    out = top_n(dots.where(F.col("score") > 0), [qid], [r6("score").desc(), F.col(did)], n)
     return out.select(qid, did, r6("score").alias("score"), F.col("rank").cast("int"))
 
 
