@@ -10,7 +10,7 @@ Fitting takes a bounded sample of distinct labelled texts: ``SAMPLE_ROWS``
 at most, dealt evenly over the languages by a hash of the text, whole texts
 each. However often a text is repeated, it counts once.
 Their n-gram counts are made on the executors and gathered as sparse rows.
-Of more than ``MAX_LANGS`` labels, the most frequent ones are learned.
+Every label is learned; of more labels than sample rows each has one text.
 
 Edge cases: a null text, or one without any letter, is ``und`` with score 0;
 without any labelled row everything is ``und``; with one language all texts
@@ -33,7 +33,6 @@ from tastemill.llm.textbuf import LOWER, flat, gram_counts, spread, table, text_
 from tastemill.session import discard, materialize
 
 SAMPLE_ROWS = 2000
-MAX_LANGS = 200
 BITS = 12
 SIZES = (2, 3)
 AMBIGUOUS_GAP = 0.1
@@ -106,38 +105,35 @@ def decode(margins: np.ndarray, code: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def sample(labelled: DataFrame, rows: int = SAMPLE_ROWS, max_langs: int = MAX_LANGS) -> tuple[list[str], DataFrame]:
+def sample(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[str], DataFrame]:
     """The languages to learn and an even, hash-ordered sample of their
     distinct texts; every language has at least one."""
     key = F.xxhash64("text").alias("k")
     keys = materialize(labelled.select("lang", key).groupBy("lang", "k").agg(F.count(F.lit(1)).alias("c")), "keys")
-    top = keys.groupBy("lang").agg(F.sum("c").alias("rows"), F.count(F.lit(1)).alias("texts"), F.min("k").alias("least"))
-    top = {r["lang"]: r for r in top.orderBy(F.desc("rows"), "lang").limit(max_langs).collect()}
-    langs = sorted(top)
+    top = materialize(keys.groupBy("lang").agg(F.count(F.lit(1)).alias("texts"), F.min("k").alias("least")), "languages")
+    langs = sorted(r["lang"] for r in top.select("lang").collect())
     each = max(1, rows // max(1, len(langs)))
     if not langs:
         return [], labelled.limit(0)
     # a hash threshold thins the keys of each language to a few times its
     # share, so the exact cut below moves a bounded number of keys at any size
-    share, least = F.lit(0.0), F.lit(None).cast("bigint")
-    for name in langs:
-        share = F.when(F.col("lang") == name, F.lit(min(1.0, (4 * each + 64) / top[name]["texts"]))).otherwise(share)
-        least = F.when(F.col("lang") == name, F.lit(top[name]["least"])).otherwise(least)
+    share = F.least(F.lit(1.0), F.lit(4.0 * each + 64) / F.col("texts"))
+    keys_of = keys.join(F.broadcast(top.select("lang", share.alias("share"), "least")), "lang")      # one row per language
     place = F.col("k").bitwiseAND((1 << 40) - 1) / F.lit(float(1 << 40))
     w = Window.partitionBy("lang").orderBy("k")
-    thin = keys.where((place < share) | (F.col("k") == least)).withColumn("_at", F.row_number().over(w))
+    thin = keys_of.where((place < F.col("share")) | (F.col("k") == F.col("least"))).withColumn("_at", F.row_number().over(w))
     chosen = materialize(thin.where(F.col("_at") <= each).select("lang", "k"), "chosen")      # at most ``rows`` or one per language
-    discard(keys)
+    discard(keys, top)
     # copies of a text meet in a partial aggregate, one per task travels
     return langs, (labelled.select("text", "lang", key).join(F.broadcast(chosen), ["lang", "k"])
                    .groupBy("lang", "k").agg(F.min("text").alias("text")).select("text", "lang"))
 
 
-def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, max_langs: int = MAX_LANGS) -> dict:
+def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> dict:
     """Model from a frame with ``text`` and ``lang``; null rows are left out."""
     text_batches(labelled.sparkSession)
     labelled = labelled.select("text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    langs, chosen = sample(labelled, rows, max_langs)
+    langs, chosen = sample(labelled, rows)
 
     @arrow_udf("struct<bucket:binary,weight:binary>")
     def sparse(texts: pa.Array) -> pa.Array:

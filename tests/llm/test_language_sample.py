@@ -17,3 +17,9 @@ def test_copies_do_not_fill_a_language(spark):
     langs, got = L.sample(df, rows=20)
     assert langs == ["en", "fr"]
     assert sorted(r["text"] for r in got.collect()) == sorted({t for t, _ in rows if t})
+
+
+def test_every_label_is_learned(spark):
+    rows = [(f"w{i}x w{i}y text {k}", f"l{i:03d}") for i in range(230) for k in range(3)]
+    model = L.fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert model["langs"] == sorted({lang for _, lang in rows}) and len(model["code"]) == 230
