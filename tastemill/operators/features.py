@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tastemill.functions.core import placed_in_order, safe_div
+from tastemill.functions.core import dense_positions, placed_in_order, safe_div
 from tastemill.operators.selection import quantiles
 
 
@@ -163,6 +163,25 @@ def multi_hot(df: DataFrame, genres_col: str, vocab: list[str], prefix: str = "g
     return df.withColumns({f"{prefix}{g}": F.array_contains(genres_col, g).cast("int") for g in vocab})
 
 
+def vocabulary_index(vocab: DataFrame, col: str = "genre") -> DataFrame:
+    """(col, idx): 0-based place of every entry in ascending order, numbered
+    without collecting the vocabulary or sorting it in one task."""
+    return dense_positions(vocab.select(col), [col], "idx").withColumn("idx", F.col("idx") - 1)
+
+
+def multi_hot_sparse(df: DataFrame, index: DataFrame, genres_col: str = "genres", key: str = "item_id") -> DataFrame:
+    """(key, indices array<bigint>, values array<int>): the ones of ``multi_hot``
+    as ascending places in a vocabulary of any size, joined and not inlined.
+    Words outside the vocabulary, nulls and repeats in a list add nothing; a
+    list that is null or empty gives empty arrays. Rows of one ``key`` are one."""
+    word = index.columns[0]
+    pairs = df.select(key, F.explode(genres_col).alias(word)).distinct().join(index, word)
+    ones = pairs.groupBy(key).agg(F.sort_array(F.collect_set("idx")).alias("indices"))
+    out = df.select(key).distinct().join(ones, key, "left")
+    empty = F.array().cast("array<bigint>")
+    return out.withColumn("indices", F.coalesce("indices", empty)).withColumn("values", F.transform("indices", lambda _: F.lit(1)))
+
+
 def one_hot(df: DataFrame, col: str, values: list[str], prefix: str = "genre_") -> DataFrame:
     return df.withColumns({f"{prefix}{v}": (F.col(col) == F.lit(v)).cast("int") for v in values})
 

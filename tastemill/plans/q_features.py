@@ -141,6 +141,19 @@ def multi_hot_genres(spark, sf):
     return X.multi_hot(cat.select("item_id", "genres"), "genres", vocab).drop("genres")
 
 
+@query("multi_hot_sparse", """
+WITH g AS (SELECT DISTINCT p_partkey AS item_id, unnest(string_split(p_name, ' ')) AS genre FROM part),
+v AS (SELECT genre, row_number() OVER (ORDER BY genre) - 1 AS idx FROM (SELECT DISTINCT genre FROM g WHERE genre <> '') d)
+SELECT p.p_partkey AS item_id, v.genre, CAST(v.idx AS BIGINT) AS idx, CAST(1 AS INTEGER) AS value
+FROM part p LEFT JOIN g ON g.item_id = p.p_partkey JOIN v ON v.genre = g.genre""")
+def multi_hot_sparse(spark, sf):
+    """The sparse vectors, spelled out by joining the vocabulary back."""
+    cat = _cat(spark, sf)
+    index = X.vocabulary_index(X.genre_vocabulary(cat, "genres"))
+    rows = X.multi_hot_sparse(cat, index).select("item_id", F.explode(F.arrays_zip("indices", "values")).alias("z"))
+    return rows.select("item_id", F.col("z.indices").alias("idx"), F.col("z.values").alias("value")).join(index, "idx").select("item_id", "genre", "idx", "value")
+
+
 @query("multi_hot_counts", """
 SELECT g AS genre, CAST(count(DISTINCT p_partkey) AS BIGINT) AS n_items
 FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS g FROM part) t GROUP BY g""")
