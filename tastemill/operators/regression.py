@@ -84,13 +84,13 @@ class MLPRegressor:
     ``fit`` expects ``features`` (array<double>, already scaled) and
     ``label`` (double). The target is standardised on the training rows
     and predictions are mapped back. Early stopping: stop after
-    ``n_iter_no_change`` steps without a loss improvement of ``tol``;
+    ``n_iter_no_change`` steps that don't beat the best loss so far by ``tol``;
     the step size is cut by ``lr_factor`` after ``lr_patience`` stale
     steps. ``history`` keeps (step, loss, lr).
     """
 
     def __init__(self, hidden: tuple[int, ...] = (100, 50), max_iter: int = 500, lr: float = 0.01,
-                 alpha: float = 1e-4, seed: int = 42, tol: float = 1e-5, n_iter_no_change: int = 20,
+                 alpha: float = 1e-4, seed: int = 42, tol: float = 1e-4, n_iter_no_change: int = 20,
                  lr_patience: int = 5, lr_factor: float = 0.2):
         self.hidden = tuple(hidden)
         self.max_iter, self.lr, self.alpha, self.seed = max_iter, lr, alpha, seed
@@ -190,8 +190,9 @@ class MLPRegressor:
             m1 = b1 * m1 + (1 - b1) * g
             m2 = b2 * m2 + (1 - b2) * g * g
             theta = theta - lr * (m1 / (1 - b1 ** step)) / (np.sqrt(m2 / (1 - b2 ** step)) + eps)
-            if loss < best - self.tol:
-                best, stale, since_cut = loss, 0, 0
+            improved, best = loss < best - self.tol, min(best, loss)
+            if improved:
+                stale, since_cut = 0, 0
             else:
                 stale += 1
                 since_cut += 1

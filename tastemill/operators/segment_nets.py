@@ -9,8 +9,8 @@ the executors, so a segment may hold any share of the rows.
 Rows are scaled by their segment's training statistics and packed once into
 blocks of one segment each (a written table), so a step is matrix products on
 ready arrays. A net drops out of the steps when its plateau rule fires: the
-step size is cut by ``lr_factor`` after ``lr_patience`` steps without an
-improvement of ``tol``, and training stops after ``patience`` of them.
+step size is cut by ``lr_factor`` after ``lr_patience`` steps that don't beat the
+best loss so far by ``tol``, and training stops after ``patience`` of them.
 
 Rows without a target or a segment take no part in training; a missing feature
 counts as the segment's mean. A feature that is constant in a segment's
@@ -87,8 +87,9 @@ class Net:
         self.m1 = 0.9 * self.m1 + 0.1 * g
         self.m2 = 0.999 * self.m2 + 0.001 * g * g
         self.theta = self.theta - self.lr * (self.m1 / (1 - 0.9 ** step)) / (np.sqrt(self.m2 / (1 - 0.999 ** step)) + 1e-8)
-        if loss < self.best - rule.tol:
-            self.best, self.stale, self.since_cut = loss, 0, 0
+        improved, self.best = loss < self.best - rule.tol, min(self.best, loss)
+        if improved:
+            self.stale, self.since_cut = 0, 0
             return
         self.stale, self.since_cut = self.stale + 1, self.since_cut + 1
         if self.since_cut >= rule.lr_patience:
