@@ -8,6 +8,7 @@ a score that ``n`` documents are known to reach.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ NO_CONTEXT = "No relevant context found."
 BANDS = 4           # impact bands per halving of the weight
 SEEDS = 64          # best postings of a term that set a query's bar
 SLACK = 2e-6        # of a score: results are ranked by six decimals
+FEW = 4             # share of postings below which documents are looked up by band
+SMALL = 200_000     # rows of (term, number) that may be broadcast
 
 
 def smooth_idf(n_docs: int, df: Column) -> Column:
@@ -38,17 +41,27 @@ def tokenize(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
 
 
 def tfidf_weights(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """Returns (weights(doc, term, weight), idf(term, idf))."""
-    tok = tokenize(docs, id_col)
-    tf = tok.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """Returns (weights(doc, term, weight), idf(term, idf)).
+
+    Texts are dealt by document once; counts and norms of a document are then
+    taken where it lies, so no row per (document, term) is shuffled. The idf
+    table is written; up to ``SMALL`` terms it is sent to the documents,
+    beyond that the rows meet it by term."""
+    dealt = docs.select(id_col, "text").repartition(id_col)
+    tf = tokenize(dealt, id_col).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
     n_docs = docs.select(id_col).distinct().count()
-    idf = (tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-           .select("term", smooth_idf(n_docs, F.col("df")).alias("idf")))
-    raw = tf.join(idf, "term").withColumn("raw", F.col("tf") * F.col("idf"))
+    idf = materialize(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+                      .select("term", smooth_idf(n_docs, F.col("df")).alias("idf")), "idf")
+    raw = tf.join(few(idf), "term").withColumn("raw", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(id_col)))
     return raw.select(id_col, "term", (F.col("raw") / norm).alias("weight")), idf
 
 
+def few(table: DataFrame) -> DataFrame:
+    """``table`` (written), broadcast if it has at most ``SMALL`` rows."""
+    return F.broadcast(table) if table.count() <= SMALL else table
+
+
 def query_weights(queries: DataFrame, idf: DataFrame, id_col: str = "query_id") -> DataFrame:
     """Query vectors with the corpus idf; unseen terms are ignored."""
     tf = tokenize(queries, id_col).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -90,13 +103,17 @@ def reading_plan(qw: DataFrame, stats: DataFrame, reached: DataFrame, qid: str)
     return t.where("read").select(qid, "term", (F.col("top") * F.col("share") * (1 - 1e-12)).alias("least"), "top", "low")
 
 
+def bands_asked(plan: DataFrame, qid: str) -> DataFrame:
+    """(query, term, band, least): the impact bands that hold what the plan reads."""
+    first = F.greatest(F.floor(-BANDS * F.log2("top")) - 1, F.lit(0)).cast("int")
+    last = F.floor(-BANDS * F.log2(F.greatest("least", "low"))).cast("int") + 1
+    return plan.select(qid, "term", "least", F.explode(F.sequence(first, F.greatest(last, first))).alias("band"))
+
+
 def candidates(plan: DataFrame, postings: DataFrame, qid: str, did: str) -> DataFrame:
     """(query, doc) of all postings that the plan reads: an equi-join on (term,
     impact band), so bands below a query's bound are not touched."""
-    first = F.greatest(F.floor(-BANDS * F.log2("top")) - 1, F.lit(0)).cast("int")
-    last = F.floor(-BANDS * F.log2(F.greatest("least", "low"))).cast("int") + 1
-    asked = plan.select(qid, "term", "least", F.explode(F.sequence(first, F.greatest(last, first))).alias("band"))
-    hit = asked.join(postings, ["term", "band"]).where(F.col("weight") >= F.col("least"))
+    hit = bands_asked(plan, qid).join(postings, ["term", "band"]).where(F.col("weight") >= F.col("least"))
     return hit.select(qid, did).distinct()
 
 
@@ -104,37 +121,51 @@ def retrieve_topn(queries: DataFrame, docs: DataFrame, n: int = 2,
                   qid: str = "query_id", did: str = "doc_id") -> DataFrame:
     """(query, doc, score, rank): cosine > 0, best ``n`` per query, ties by doc id.
 
-    Exact without pairing a query with all documents of its terms: the best
+    Exact without shuffling (query, doc) pairs where that can be avoided: the
+    postings of the query terms are held dealt by document. The best
     ``SEEDS`` postings of each query term give ``n`` documents whose whole
-    scores set a bar; only postings that can lift a document over it are
-    read (``reading_plan``), and their documents are scored in full. Postings
-    are joined by impact band, and a term that is in every document is read
-    only where it can decide. Nulls and texts without terms match nothing."""
-    weights, _ = tfidf_weights(docs, did)
-    n_docs = docs.select(did).distinct().count()
+    scores set a bar, and ``reading_plan`` says which postings can lift a
+    document over it. If those are less than one in ``FEW`` of all that the
+    queries could meet, only their documents are scored, by impact bands, and
+    a term that is in every document is read only where it can decide.
+    Otherwise the query vectors go to the documents and each task passes on
+    its best ``n`` per query. Nulls and texts without terms match nothing."""
+    weights, idf = tfidf_weights(docs, did)
     terms = materialize(tokenize(queries, qid).select("term").distinct(), "query-terms")
-    postings = materialize(bands(weights.join(terms, "term", "left_semi")), "postings")
-    stats = materialize(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("weight").alias("top"), F.min("weight").alias("low")), "term-stats")
-    qw = materialize(query_weights(queries, stats.select("term", smooth_idf(n_docs, F.col("df")).alias("idf")), qid), "query-weights")
+    qw = materialize(query_weights(queries, materialize(idf.join(few(terms), "term", "left_semi"), "query-idf"), qid)
+                     .where(F.col(qid).isNotNull()), "query-weights")
+    postings = bands(weights.where(F.col(did).isNotNull()).join(few(terms), "term", "left_semi")).persist(StorageLevel.DISK_ONLY)
+    levels = materialize(postings.groupBy("term", "band").agg(F.count(F.lit(1)).alias("df"), F.max("weight").alias("top"), F.min("weight").alias("low")), "term-bands")
+    stats = levels.groupBy("term").agg(F.sum("df").alias("df"), F.max("top").alias("top"), F.min("low").alias("low"))
 
     seeds = top_n(postings.select("term", did, "weight"), ["term"], [F.col("weight").desc(), F.col(did)], max(SEEDS, n))
     part = (qw.select(qid, "term", F.col("weight").alias("qw")).join(seeds, "term")
             .groupBy(qid, did).agg(F.sum(F.col("qw") * F.col("weight")).alias("part")))
-    firm = top_n(part, [qid], [F.col("part").desc(), F.col(did)], 4 * n).select(qid, did)
+    firm = materialize(top_n(part, [qid], [F.col("part").desc(), F.col(did)], 4 * n).select(qid, did), "firm")
     sure = top_n(exact_scores(firm, qw, postings, qid, did), [qid], [F.col("score").desc(), F.col(did)], n)
     reached = sure.where(F.col("rank") == n).select(qid, F.col("score").alias("bar"))
-
     plan = materialize(reading_plan(qw, stats, reached, qid), "reading-plan")
-    dots = exact_scores(candidates(plan, postings, qid, did), qw, postings, qid, did)
+
+    reads = bands_asked(plan, qid).join(levels, ["term", "band"]).agg(F.sum("df")).first()[0] or 0
+    meets = qw.join(stats, "term").agg(F.sum("df")).first()[0] or 0
+    if reads * FEW <= meets or qw.count() > SMALL:
+        dots = exact_scores(candidates(plan, postings, qid, did), qw, postings, qid, did)
+    else:
+        dots = (postings.select(did, "term", "weight").join(F.broadcast(qw.withColumnRenamed("weight", "qw")), "term")
+                .groupBy(did, qid).agg(F.sum(F.col("qw") * F.col("weight")).alias("score")))
     out = top_n(dots.where(F.col("score") > 0), [qid], [r6("score").desc(), F.col(did)], n)
-    return out.select(qid, did, r6("score").alias("score"), F.col("rank").cast("int"))
+    out = materialize(out.select(qid, did, r6("score").alias("score"), F.col("rank").cast("int")), "hits")
+    postings.unpersist()
+    return out
 
 
 def context_block(queries: DataFrame, hits: DataFrame, docs: DataFrame,
                   qid: str = "query_id", did: str = "doc_id") -> DataFrame:
     """'id:\\ntext' of the hits in rank order, joined by blank lines; a fixed
     message when a query has no hit. At most ``n`` hits per query, so the
-    ordered collect is bounded."""
+    ordered collect is bounded. ``hits`` is a written table
+    (``retrieve_topn``): while it is small, its size lets the join leave the
+    texts where they lie."""
     h = hits.join(docs.select(did, "text"), did).select(
         qid, "rank", F.concat(F.col(did).cast("string"), F.lit(":\n"), F.col("text")).alias("block"))
     blocks = h.groupBy(qid).agg(F.array_join(F.transform(

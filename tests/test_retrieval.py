@@ -78,3 +78,22 @@ def test_a_term_of_every_document_is_not_paired_with_all(spark, monkeypatch):
     assert plan.where("term = 'the'").count() == 0 and df["the"] == 3000      # read by no query
     assert pairs.count() <= sum(df[w] for _, t in queries for w in set(t.split()) - {"the"})
     assert {(r.query_id, r.doc_id) for r in got if r["rank"] == 1} == {(a, b) for a, b, k, _ in brute(queries, docs, 2) if k == 1}
+
+
+def test_documents_are_scored_where_they_lie(spark, monkeypatch):
+    """Common terms: no join by band, no (document, term) rows sent around."""
+    rng = random.Random(9)
+    docs = [(i, zipf(rng, 25, 40)) for i in range(300)]
+    queries = [(i, zipf(rng, 8, 40)) for i in range(20)]
+
+    def never(*a):
+        raise AssertionError("pairs looked up by band")
+
+    monkeypatch.setattr(T, "candidates", never)
+    check(spark, queries, docs, 2)
+    _, d = tables(spark, queries, docs)
+    w, _ = T.tfidf_weights(d, "doc_id")
+    assert w.collect() and w._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(doc_id") <= 2
+    monkeypatch.undo()
+    monkeypatch.setattr(T, "SMALL", 0)
+    check(spark, queries, docs, 2)
