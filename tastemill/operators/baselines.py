@@ -16,6 +16,7 @@ from tastemill.operators.selection import quantiles
 from tastemill.functions.core import dense_positions, hash_key, r6, top_n
 from tastemill.operators.knn import grid_topn
 from tastemill.operators.profiles import liked_genres, user_profile_mean
+from tastemill.session import materialize
 
 
 # ------------------------------------------------------------------ pruned
@@ -90,6 +91,56 @@ def tiered_topn(cands: DataFrame, feedback: DataFrame, n: int) -> DataFrame:
         "user_id", "item_id", "tier", F.col("rank").cast("int"))
 
 
+HEAD = 2            # positions looked at first, in multiples of the wanted items
+
+
+def head_pick(wants: DataFrame, feedback: DataFrame, ranked: DataFrame, n: int) -> DataFrame:
+    """(user_id, item_id, rank): the first ``n`` unrated items of each user who
+    finds them among the first ``HEAD * n`` positions of ``ranked`` (one list
+    for all) and within the ``k`` positions of ``wants(user_id, k)``. Users
+    who don't, and the null user, are left out.
+
+    The head is a list of ``HEAD * n`` items, so a user's rated part of it is
+    one short array and no user × position rows are shuffled. An item that
+    is listed twice counts at its first position."""
+    head = ranked.where(F.col("pos") <= HEAD * n).groupBy("item_id").agg(F.min("pos").alias("pos"))
+    head = materialize(head.where(F.col("item_id").isNotNull()), "head")       # HEAD * n rows
+    null = ranked.where((F.col("pos") <= HEAD * n) & F.col("item_id").isNull()).agg(F.min("pos").alias("pos"))
+    listed = head.select("pos").unionByName(null.where("pos IS NOT NULL")).agg(F.sort_array(F.collect_list("pos")).alias("listed"))
+    seen = (feedback.select("user_id", "item_id").join(F.broadcast(head), "item_id")
+            .groupBy("user_id").agg(F.collect_set("pos").alias("seen")))
+    free = F.array_except(F.filter("listed", lambda p: p <= F.col("k")), F.coalesce("seen", F.array().cast("array<bigint>")))
+    found = (wants.where(F.col("user_id").isNotNull()).join(seen, "user_id", "left").crossJoin(F.broadcast(listed))
+             .withColumn("free", F.slice(free, 1, n)).where(F.size("free") == n))
+    item_at = materialize(head.select("pos", "item_id").unionByName(null.where("pos IS NOT NULL").select("pos", F.lit(None).cast(head.schema["item_id"].dataType).alias("item_id"))), "head")
+    return (found.select("user_id", F.posexplode("free").alias("rank", "pos")).join(F.broadcast(item_at), "pos")
+            .select("user_id", "item_id", (F.col("rank") + 1).cast("int").alias("rank")))
+
+
+def genre_head_pick(wants: DataFrame, feedback: DataFrame, ranked: DataFrame, n: int) -> DataFrame:
+    """(user_id, item_id, rank): the first ``n`` unrated items, in the order of
+    (h, item_id), over the genres of ``wants(user_id, genre, k)`` for each user
+    who finds ``n`` among the first ``HEAD * n`` positions (and within ``k``)
+    of every such genre in ``ranked(genre, pos, item_id, h)``. Users who
+    don't, and the null user, are left out.
+
+    Heads are numbered over all genres, so a user's share of them is an array
+    of numbers that never leaves the user's row."""
+    first = ranked.where(F.col("pos") <= HEAD * n).groupBy("genre", "item_id", "h").agg(F.min("pos").alias("pos"))
+    head = materialize(first.withColumn("at", F.dense_rank().over(Window.orderBy("h", "item_id"))), "heads")    # HEAD * n rows a genre
+    item_at = head.select("at", "item_id").distinct()
+    seen = (feedback.select("user_id", "item_id").join(item_at, "item_id")
+            .groupBy("user_id").agg(F.collect_set("at").alias("seen")))
+    listed = materialize(head.groupBy("genre").agg(F.sort_array(F.collect_list(F.struct("pos", "at"))).alias("listed")), "listed")
+    near = F.transform(F.filter("listed", lambda p: p["pos"] <= F.col("k")), lambda p: p["at"])
+    free = F.slice(F.array_except(near, F.coalesce("seen", F.array().cast("array<int>"))), 1, n)
+    found = (wants.where(F.col("user_id").isNotNull()).join(seen, "user_id", "left").join(listed, "genre")
+             .select("user_id", free.alias("free")).groupBy("user_id")
+             .agg(F.min(F.size("free")).alias("least"), F.flatten(F.collect_list("free")).alias("free")).where(F.col("least") == n))
+    found = found.select("user_id", F.posexplode(F.slice(F.sort_array(F.array_distinct("free")), 1, n)).alias("rank", "at"))
+    return found.join(item_at, "at").select("user_id", "item_id", (F.col("rank") + 1).cast("int").alias("rank"))
+
+
 def genre_based_recommend(feedback: DataFrame, catalog: DataFrame, n: int = 15,
                           seed: int = 42, genre_col: str = "genre") -> DataFrame:
     """n unrated items sharing a liked genre (hash order), topped up with
@@ -97,16 +148,23 @@ def genre_based_recommend(feedback: DataFrame, catalog: DataFrame, n: int = 15,
     users = feedback.filter(F.col("label") == 1).select("user_id").distinct()
     lg = liked_genres(feedback, catalog, genre_col)
     per_g = rated_counts(feedback, catalog, genre_col).withColumnRenamed(genre_col, "genre")
-    wants = (lg.join(per_g, ["user_id", "genre"], "left")
-             .select("user_id", F.col("genre").alias(genre_col),
-                     (F.lit(n) + F.coalesce(F.col("n_rated"), F.lit(0))).alias("k")))
-    in_genre = prefix_pick(wants, ranked_items(catalog, seed, genre_col), genre_col) \
+    wants = materialize(lg.join(per_g, ["user_id", "genre"], "left")
+                        .select("user_id", "genre", (F.lit(n) + F.coalesce(F.col("n_rated"), F.lit(0))).alias("k")), "wants")
+    by_genre = materialize(ranked_items(catalog, seed, genre_col).withColumnRenamed(genre_col, "genre"), "by-genre")
+    easy = materialize(genre_head_pick(wants, feedback, by_genre, n), "easy")
+    done = easy.select("user_id").distinct()
+    out = easy.select("user_id", "item_id", F.lit(0).alias("tier"), "rank")
+    users = materialize(users.join(done, "user_id", "left_anti"), "wanting")
+    if users.isEmpty():
+        return out
+    # the others: all positions they may need
+    in_genre = prefix_pick(wants.join(done, "user_id", "left_anti"), by_genre, "genre") \
         .select("user_id", "item_id", "h", F.lit(0).alias("tier"))
     allr = rated_counts(feedback).join(users, "user_id", "left_semi")
     top_wants = allr.select("user_id", (F.lit(2 * n) + F.col("n_rated")).alias("k"))
     others = prefix_pick(top_wants, ranked_items(catalog, seed), None) \
         .select("user_id", "item_id", "h", F.lit(1).alias("tier"))
-    return tiered_topn(in_genre.unionByName(others), feedback, n)
+    return out.unionByName(tiered_topn(in_genre.unionByName(others), feedback, n))
 
 
 def popularity_threshold(catalog: DataFrame, col: str, q: float = 0.8,
@@ -123,15 +181,21 @@ def popularity_recommend(feedback: DataFrame, catalog: DataFrame, pop_col: str,
     """n unrated items with popularity ≥ the q-quantile (hash order),
     topped up with other unrated items. Every user in feedback."""
     t = popularity_threshold(catalog, pop_col, q)
-    popular = catalog.filter(F.col(pop_col) >= F.lit(t)).select("item_id")
-    rc = rated_counts(feedback)
-    wants = rc.select("user_id", (F.lit(n) + F.col("n_rated")).alias("k"))
-    tier0 = prefix_pick(wants, ranked_items(popular, seed), None) \
+    popular = materialize(ranked_items(catalog.filter(F.col(pop_col) >= F.lit(t)).select("item_id"), seed), "popular")
+    rc = rated_counts(feedback).withColumn("k", F.lit(n) + F.col("n_rated"))
+    easy = materialize(head_pick(rc, feedback, popular, n), "easy")
+    done = easy.select("user_id").distinct()
+    rc = materialize(rc.join(done, "user_id", "left_anti"), "wanting")
+    out = easy.select("user_id", "item_id", F.lit(0).alias("tier"), "rank")
+    if rc.isEmpty():
+        return out
+    # the others: all positions they may need
+    tier0 = prefix_pick(rc.select("user_id", "k"), popular, None) \
         .select("user_id", "item_id", "h", F.lit(0).alias("tier"))
     wants1 = rc.select("user_id", (F.lit(2 * n) + F.col("n_rated")).alias("k"))
     tier1 = prefix_pick(wants1, ranked_items(catalog, seed), None) \
         .select("user_id", "item_id", "h", F.lit(1).alias("tier"))
-    return tiered_topn(tier0.unionByName(tier1), feedback, n)
+    return out.unionByName(tiered_topn(tier0.unionByName(tier1), feedback, n))
 
 
 def top_up(chosen: DataFrame, pool: DataFrame, n: int, seed: int = 42,

@@ -94,3 +94,34 @@ def test_weight_replay_equals_iteration(spark):
         s = wa + wb
         wa, wb = wa / s, wb / s
         assert abs(got[("a", rnd)] - wa) < 1e-12 and abs(got[("b", rnd)] - wb) < 1e-12
+
+
+def test_popularity_head_is_exact(spark, monkeypatch):
+    """Few users go past the head of the list; rows are those of all positions."""
+    cat = spark.createDataFrame([(i, float(i)) for i in range(400)] + [(399, 399.0), (None, 500.0)], "item_id long, n_orders double")
+    order = sorted(range(320, 400), key=_h)
+    rows = [(u, i, 1) for u in range(60) for i in range(400) if (i * 7 + u * 13) % 11 == 0] + [(99, i, 1) for i in order[:40]] + [(None, 5, 1)]
+    fb = spark.createDataFrame(rows, "user_id long, item_id long, label int")
+    asked, real = [], B.prefix_pick
+    monkeypatch.setattr(B, "prefix_pick", lambda w, *a, **k: asked.append(w.count()) or real(w, *a, **k))
+    take = lambda: sorted((str(tuple(r)) for r in B.popularity_recommend(fb, cat, "n_orders", n=5, seed=42).collect()))
+    got = take()
+    assert asked and max(asked) <= 3
+    monkeypatch.setattr(B, "HEAD", 0)
+    assert take() == got and len(got) == 62 * 5
+
+
+def test_genre_heads_are_exact(spark, monkeypatch):
+    """Few users go past the heads of their genres; rows are those of all positions."""
+    cat = spark.createDataFrame([(i, "ABC"[i % 3]) for i in range(300)] + [(299, "A"), (None, "B"), (900, None)], "item_id long, genre string")
+    order = sorted((i for i in range(300) if i % 3 == 0), key=_h)
+    rows = [(u, i, 1 if (i + u) % 4 else -1) for u in range(60) for i in range(300) if (i * 7 + u * 13) % 23 == 0]
+    rows += [(99, i, 1) for i in order[:30]] + [(98, 900, 1), (None, 5, 1), (97, 4, -1)]
+    fb = spark.createDataFrame(rows, "user_id long, item_id long, label int")
+    asked, real = [], B.prefix_pick
+    monkeypatch.setattr(B, "prefix_pick", lambda w, *a, **k: asked.append(w.select("user_id").distinct().count()) or real(w, *a, **k))
+    take = lambda: sorted((str(tuple(r)) for r in B.genre_based_recommend(fb, cat, n=5, seed=42).collect()))
+    got = take()
+    assert asked and max(asked) <= 4
+    monkeypatch.setattr(B, "HEAD", 0)
+    assert take() == got and len(got) >= 62 * 5
