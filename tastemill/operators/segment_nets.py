@@ -32,6 +32,7 @@ from tastemill.operators.regression import TREE_FROM, parameter_count
 from tastemill.session import materialize
 
 MAX_SEGMENTS = 1000
+FEW_TASKS = 4                 # of so few, the driver adds up the gradients itself
 SUMS = "segment string, model string, g binary, loss double, n long"
 
 
@@ -103,6 +104,17 @@ def _add(pdf: pd.DataFrame) -> pd.DataFrame:
                          "loss": [float(pdf["loss"].sum())], "n": [int(pdf["n"].sum())]})
 
 
+def summed(made: DataFrame, n_parts: int) -> DataFrame:
+    """Gradients of ``n_parts`` tasks added up on the executors: the driver gets
+    a row per net and step, or, from few tasks, a row of each of them."""
+    if n_parts > TREE_FROM:      # in groups of partitions first
+        part = F.pmod(F.spark_partition_id(), F.lit(int(n_parts ** 0.5)))
+        made = made.withColumn("part", part).groupBy("segment", "model", "part").applyInPandas(lambda pdf: _add(pdf), SUMS)
+    if n_parts > FEW_TASKS:
+        made = made.groupBy("segment", "model").applyInPandas(lambda pdf: _add(pdf), SUMS)
+    return made
+
+
 class SegmentNets:
     """``models``: name -> hidden layer sizes, one net of each per segment."""
 
@@ -180,10 +192,7 @@ class SegmentNets:
                     yield pd.DataFrame([(s, m, g.tobytes(), loss, n) for (s, m), (g, loss, n) in total.items()],
                                        columns=["segment", "model", "g", "loss", "n"])
 
-            made = blocks.mapInPandas(sums, SUMS)
-            if n_parts > TREE_FROM:      # add up on the executors first, in groups of partitions
-                part = F.pmod(F.spark_partition_id(), F.lit(int(n_parts ** 0.5)))
-                made = made.withColumn("part", part).groupBy("segment", "model", "part").applyInPandas(lambda pdf: _add(pdf), SUMS)
+            made = summed(blocks.mapInPandas(sums, SUMS), n_parts)
             found: dict = {}
             for r in made.collect():
                 g, loss = found.get((r["segment"], r["model"]), (0.0, 0.0))

@@ -105,3 +105,20 @@ def test_queries_against_sql_on_the_stored_predictions(spark):
     got = q_nets.segment_nets_pred_vs_actual(spark, SF).toPandas().sort_values(["segment", "model", "bin"]).reset_index(drop=True)[list(bins.columns)]
     assert len(got) == len(bins) and (got[["bin", "n"]] == bins[["bin", "n"]]).all(axis=None)
     assert np.allclose(got[["mean_actual", "mean_pred"]], bins[["mean_actual", "mean_pred"]])
+
+
+def test_driver_gets_one_gradient_per_net(spark):
+    """Rows sent to the driver in a step don't grow with the number of tasks."""
+    from pyspark.sql import functions as F
+
+    from tastemill.operators.segment_nets import SUMS, summed
+    for n_parts in (5, 40):
+        def made(batches):
+            import pandas as pd
+            for _ in batches:
+                yield pd.DataFrame([(s, "full", np.array([1.0, 2.0]).tobytes(), 0.5, 3) for s in "ab"], columns=["segment", "model", "g", "loss", "n"])
+        tasks = spark.range(n_parts).repartitionByRange(n_parts, F.col("id")).mapInPandas(made, SUMS)
+        rows = summed(tasks, n_parts).collect()
+        k = tasks.count() // 2
+        assert sorted(r["segment"] for r in rows) == ["a", "b"]
+        assert all(list(np.frombuffer(r["g"])) == [k, 2.0 * k] and r["loss"] == 0.5 * k and r["n"] == 3 * k for r in rows)
