@@ -97,3 +97,39 @@ def test_documents_are_scored_where_they_lie(spark, monkeypatch):
     monkeypatch.undo()
     monkeypatch.setattr(T, "SMALL", 0)
     check(spark, queries, docs, 2)
+
+
+def test_texts_and_postings_stay_in_place(spark, monkeypatch):
+    """Ids that several rows share or that are null, a vocabulary beyond what
+    is broadcast by name, and terms too many to be held at all."""
+    rng = random.Random(11)
+    docs = [(i, zipf(rng, rng.randrange(1, 60), 900)) for i in range(300)]
+    queries = [(i, zipf(rng, rng.randrange(1, 12), 900)) for i in range(30)]
+    monkeypatch.setattr(T, "SMALL", 100)
+    plans, real = [], T.materialize
+    monkeypatch.setattr(T, "materialize", lambda df, name="t": plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or real(df, name))
+    check(spark, queries, docs, 2)
+    assert [p for name, p in plans if name == "postings"] and not any(w in p for name, p in plans if name == "postings" for w in ("Window", "Aggregate", "Join"))
+    # one document dealt over rows is the document
+    pieces = [(i, w) for i, t in docs for w in ([t] if i % 3 else t.split())] + [(None, "w1 w2 w3")]
+    rng.shuffle(pieces)
+    q, d = tables(spark, queries, pieces)
+    whole = spark.createDataFrame([*docs, (None, "w1 w2 w3")], "doc_id long, text string")
+    assert sorted(T.retrieve_topn(q, d, 2).collect()) == sorted(T.retrieve_topn(q, whole, 2).collect())
+    monkeypatch.setattr(T, "HELD", 0)
+    check(spark, queries, docs, 2)
+
+
+def test_blocks_of_queries_and_ties(spark, monkeypatch):
+    rng = random.Random(12)
+    docs = [(i, zipf(rng, rng.randrange(1, 6), 8)) for i in range(500)]           # many equal scores
+    queries = [(i, zipf(rng, 6, 8)) for i in range(40)]
+    monkeypatch.setattr(T, "CELLS", 20)
+    monkeypatch.setattr(T, "AT_ONCE", 7)
+    monkeypatch.setattr(T, "ROWS", 16)
+    monkeypatch.setattr(T, "FEW", 10**9)                # never by band
+    check(spark, queries, docs, 3)
+    names = [(f"d{i:03d}", t) for i, t in docs]
+    got = T.retrieve_topn(spark.createDataFrame([(f"q{i}", t) for i, t in queries], "query_id string, text string"),
+                          spark.createDataFrame(names, "doc_id string, text string").repartition(3), 3).collect()
+    assert {(r.query_id, r.doc_id, r["rank"]) for r in got} == {(f"q{a}", f"d{b:03d}", k) for a, b, k, _ in brute(queries, docs, 3)}
